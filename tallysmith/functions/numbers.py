@@ -19,6 +19,14 @@ def round_to(value: Column | str, digits: int) -> Column:
     return F.rint(as_column(value) * scale) / scale + F.lit(0.0)
 
 
+def round_mean(value: Column | str, digits: int) -> Column:
+    """Rounding for means of doubles, whose last bits depend on the order of addition.
+
+    Rounding to a few more digits first removes those bits, so a tie is a tie in every run.
+    """
+    return round_to(round_to(value, digits + 6), digits)
+
+
 def to_number(value: Column | str) -> Column:
     """Number, or NULL for junk, blanks and NaN, so that averages skip it."""
     number = as_column(value).try_cast("double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import round_to, share
+from tallysmith.functions.numbers import round_mean, round_to, share
 from tallysmith.functions.stats import wilson_bounds
 from tallysmith.operators.common import keyed
 
@@ -42,14 +42,14 @@ def accuracy_table(trials: DataFrame, group: Sequence[str]) -> DataFrame:
         round_to(high, 4).alias("wilson_high"),
         round_to(share(F.col("rubric_sum"), F.col("rubric_n")), 4).alias("rubric_mean"),
         round_to(share(F.col("refusals"), F.col("n")), 4).alias("refusal_rate"),
-        round_to(F.coalesce("spread", F.lit(0.0)), 4).alias("run_acc_std"),
+        round_mean(F.coalesce("spread", F.lit(0.0)), 4).alias("run_acc_std"),
     )
 
 
 def response_means(responses: DataFrame) -> DataFrame:
     """Mean reading grade and token counts per model."""
     return keyed(responses, ["model"]).groupBy("model").agg(
-        round_to(F.avg("response_fk_grade"), 2).alias("mean_response_fk_grade"),
+        round_mean(F.avg("response_fk_grade"), 2).alias("mean_response_fk_grade"),
         round_to(F.avg("total_tokens"), 1).alias("mean_total_tokens"),
         round_to(F.avg("reasoning_tokens"), 1).alias("mean_reasoning_tokens"),
     )
@@ -71,9 +71,9 @@ def leaderboard(trials: DataFrame, responses: DataFrame | None = None) -> DataFr
     )
     board = board.select(
         "model",
-        round_to("macro", 4).alias("macro_accuracy"),
+        round_mean("macro", 4).alias("macro_accuracy"),
         round_to("micro", 4).alias("micro_accuracy"),
-        round_to("rubric", 4).alias("rubric_macro"),
+        round_mean("rubric", 4).alias("rubric_macro"),
         round_to("refusal", 4).alias("refusal_rate"),
         "n_items",
     )

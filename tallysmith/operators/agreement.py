@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import round_to, share
+from tallysmith.functions.numbers import round_mean, round_to, share
 from tallysmith.functions.stats import fleiss_item_agreement, fleiss_kappa
 from tallysmith.functions.text import percent_label
 from tallysmith.operators.panel import disagreement
@@ -31,7 +31,7 @@ def panel_reliability(wide: DataFrame, judge_columns: Sequence[str], panel: Colu
         "panel",
         "n_items",
         raters.alias("n_judges"),
-        round_to(kappa, 3).alias("fleiss_kappa"),
+        round_mean(kappa, 3).alias("fleiss_kappa"),
         round_to("raw", 3).alias("raw_agreement"),
         round_to("flagged", 3).alias("flag_rate"),
     )
@@ -122,7 +122,7 @@ def self_preference(verdicts: DataFrame, families: DataFrame) -> DataFrame:
     )
     return sides.select(
         "judge",
-        round_to("same", 4).alias("mean_score_same_family"),
-        round_to("other", 4).alias("mean_score_other_family"),
-        round_to(F.col("same") - F.col("other"), 4).alias("self_preference_delta"),
+        round_mean("same", 4).alias("mean_score_same_family"),
+        round_mean("other", 4).alias("mean_score_other_family"),
+        round_mean(F.col("same") - F.col("other"), 4).alias("self_preference_delta"),
     )

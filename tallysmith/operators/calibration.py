@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import round_to, share, to_number
+from tallysmith.functions.numbers import round_mean, round_to, share, to_number
 from tallysmith.functions.stats import cohen_kappa
 from tallysmith.operators.common import keyed
 
@@ -84,7 +84,7 @@ def judge_vs_human(sheet: DataFrame, judges: Sequence[str], prefix: str = "llm_"
         "judge",
         n.alias("n"),
         round_to(share(n00 + n11, n), 3).alias("accuracy"),
-        round_to(cohen_kappa(n00, n01, n10, n11), 3).alias("cohen_kappa"),
+        round_mean(cohen_kappa(n00, n01, n10, n11), 3).alias("cohen_kappa"),
         round_to(share(n10, F.greatest(n00 + n10, F.lit(1))), 3).alias("false_correct_rate"),
         round_to(share(n01, F.greatest(n01 + n11, F.lit(1))), 3).alias("false_incorrect_rate"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import in_band, round_to, share
+from tallysmith.functions.numbers import in_band, round_mean, round_to, share
 from tallysmith.functions.text import reject_bucket
 from tallysmith.operators.common import keyed
 from tallysmith.operators.ensemble import QUESTION_TYPES
@@ -47,7 +47,7 @@ def dataset_quality(
         *[F.coalesce(c, zero).alias(c) for c in ["n_questions", *names]],
         "standards_total",
         "standards_covered",
-        round_to(F.coalesce(share(F.col("grade_sum"), F.col("grade_n")), F.lit(0.0)), 2).alias("mean_fk_grade"),
+        round_mean(F.coalesce(share(F.col("grade_sum"), F.col("grade_n")), F.lit(0.0)), 2).alias("mean_fk_grade"),
         round_to(F.coalesce(share(F.col("inside"), F.col("n_questions")), F.lit(0.0)), 3).alias("frac_in_band"),
     )
 
@@ -60,7 +60,7 @@ def quality_summary(quality: DataFrame) -> DataFrame:
         F.sum("n_questions").alias("total_questions"),
         F.count_distinct("area").alias("areas"),
         coverage.alias("min_coverage"),
-        round_to(F.avg("frac_in_band"), 3).alias("mean_frac_in_band"),
+        round_mean(F.avg("frac_in_band"), 3).alias("mean_frac_in_band"),
     )
 
 
@@ -112,7 +112,7 @@ def composition(items: DataFrame, areas: DataFrame, types: Sequence[str] = QUEST
         F.sum("questions").alias("questions"),
         F.count("standard").alias("standards"),
         *[F.sum(F.col(f"`{t}`")).alias(t) for t in types],
-        round_to(share(F.sum("grade_sum"), F.sum("grade_n")), 2).alias("mean FK"),
+        round_mean(share(F.sum("grade_sum"), F.sum("grade_n")), 2).alias("mean FK"),
     )
     summed = ["questions", "standards", *types]
     rolled = per_area.rollup("area").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import round_to
+from tallysmith.functions.numbers import round_mean, round_to
 from tallysmith.operators.common import keyed
 from tallysmith.operators.ensemble import majority
 
@@ -29,8 +29,8 @@ def item_stats(trials: DataFrame, vote: bool = False) -> DataFrame:
     """
     return _item_scores(trials, vote).select(
         *ITEM,
-        round_to("fraction", 3).alias("fraction_correct"),
-        round_to("spread", 3).alias("discrimination"),
+        round_mean("fraction", 3).alias("fraction_correct"),
+        round_mean("spread", 3).alias("discrimination"),
         (F.col("fraction") >= TRIVIAL).cast("int").alias("trivial"),
         (F.col("fraction") <= BROKEN).cast("int").alias("broken"),
     )
@@ -41,8 +41,8 @@ def psychometrics(trials: DataFrame) -> DataFrame:
     items = _item_scores(trials, vote=True)
     return items.groupBy("area", "question_type").agg(
         F.count("*").alias("n_items"),
-        round_to(F.avg("fraction"), 3).alias("mean_difficulty"),
-        round_to(F.avg("spread"), 3).alias("mean_discrimination"),
+        round_mean(F.avg("fraction"), 3).alias("mean_difficulty"),
+        round_mean(F.avg("spread"), 3).alias("mean_discrimination"),
         round_to(F.avg((F.col("fraction") >= TRIVIAL).cast("int")), 3).alias("pct_trivial"),
         round_to(F.avg((F.col("fraction") <= BROKEN).cast("int")), 3).alias("pct_broken"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import band_distance, round_to
+from tallysmith.functions.numbers import band_distance, round_mean, round_to
 from tallysmith.operators.common import keyed
 
 TOKEN_COLUMNS = {
@@ -28,16 +28,16 @@ def reading_level(responses: DataFrame, low: float, high: float) -> DataFrame:
     )
     return means.select(
         *keys,
-        round_to("grade", 2).alias("mean_fk_grade"),
-        round_to("ease", 2).alias("mean_reading_ease"),
+        round_mean("grade", 2).alias("mean_fk_grade"),
+        round_mean("ease", 2).alias("mean_reading_ease"),
         "n",
-        round_to(band_distance("grade", low, high), 2).alias("dist_from_band"),
+        round_mean(band_distance("grade", low, high), 2).alias("dist_from_band"),
     )
 
 
 def reading_level_by_model(responses: DataFrame, low: float, high: float) -> DataFrame:
     means = keyed(responses, ["model"]).groupBy("model").agg(
-        round_to(F.avg("response_fk_grade"), 2).alias("mean_response_fk_grade")
+        round_mean(F.avg("response_fk_grade"), 2).alias("mean_response_fk_grade")
     )
     return means.withColumn("target_band", F.lit(f"{low}–{high}"))
 
@@ -51,7 +51,7 @@ def token_stats(responses: DataFrame, group: Sequence[str]) -> DataFrame:
     columns = [F.count("*").alias("n")]
     for column, label in TOKEN_COLUMNS.items():
         columns.append(round_to(F.avg(column), 1).alias(f"{label}_mean"))
-        columns.append(round_to(F.coalesce(F.stddev_samp(column), F.lit(0.0)), 1).alias(f"{label}_sd"))
+        columns.append(round_mean(F.coalesce(F.stddev_samp(column), F.lit(0.0)), 1).alias(f"{label}_sd"))
     columns.append(F.sum("total_tokens").alias("total_sum"))
     columns.append(
         round_to(F.avg((F.col("reasoning_tokens") > 0).cast("int")), 3).alias("reasoning_available_frac")

@@ -17,6 +17,11 @@ def rnd(expr: str, digits: int) -> str:
     return f"(round_even(CAST({expr} AS DOUBLE) * 1e{digits}, 0) / 1e{digits} + 0e0)"
 
 
+def mean(expr: str, digits: int) -> str:
+    """Rounding of means of doubles: a few more digits first."""
+    return rnd(rnd(expr, digits + 6), digits)
+
+
 def big(expr: str) -> str:
     return f"CAST({expr} AS BIGINT)"
 
@@ -61,8 +66,8 @@ EV_RESP = EV + RESP[len(ANSWERS):]
 # --- accuracy -------------------------------------------------------------------------------------------
 
 def board(ev: str) -> str:
-    return f"""SELECT m.model, {rnd('a.macro', 4)} AS macro_accuracy,
-      {rnd(ratio('m.c', 'm.n'), 4)} AS micro_accuracy, {rnd('a.rubric', 4)} AS rubric_macro,
+    return f"""SELECT m.model, {mean('a.macro', 4)} AS macro_accuracy,
+      {rnd(ratio('m.c', 'm.n'), 4)} AS micro_accuracy, {mean('a.rubric', 4)} AS rubric_macro,
       {rnd(ratio('m.r', 'm.n'), 4)} AS refusal_rate, m.n AS n_items
     FROM (SELECT model, count(*) AS n, sum(binary_score) AS c, sum(is_refusal) AS r FROM {ev} GROUP BY 1) m
     JOIN (SELECT model, avg(acc) AS macro, avg(rub) AS rubric FROM (
@@ -71,7 +76,7 @@ def board(ev: str) -> str:
 
 
 ORACLES["leaderboard"] = f"""WITH {EV_RESP}, b AS ({board('ev')}), r AS (
-  SELECT model, {rnd('avg(response_fk_grade)', 2)} AS mean_response_fk_grade,
+  SELECT model, {mean('avg(response_fk_grade)', 2)} AS mean_response_fk_grade,
     {rnd('avg(total_tokens)', 1)} AS mean_total_tokens, {rnd('avg(reasoning_tokens)', 1)} AS mean_reasoning_tokens
   FROM resp GROUP BY 1)
 SELECT CAST(row_number() OVER (ORDER BY macro_accuracy DESC, b.model) AS INTEGER) AS rank, b.*, r.* EXCLUDE (model)
@@ -86,7 +91,7 @@ def accuracy(group: list[str], ev: str = "ev") -> str:
     half = f"({z} * sqrt({c} * ({n} - {c}) / {n} + {z2} / 4e0) / ({n} + {z2}))"
     return f"""SELECT {keys}, n, {rnd(ratio('c', 'n'), 4)} AS binary_accuracy,
       {rnd(centre + ' - ' + half, 4)} AS wilson_low, {rnd(centre + ' + ' + half, 4)} AS wilson_high,
-      {rnd('rub', 4)} AS rubric_mean, {rnd('ref', 4)} AS refusal_rate, {rnd('sd', 4)} AS run_acc_std
+      {rnd('rub', 4)} AS rubric_mean, {rnd('ref', 4)} AS refusal_rate, {mean('sd', 4)} AS run_acc_std
     FROM (SELECT {keys}, count(*) AS n, sum(binary_score) AS c, avg(rubric_score) AS rub, avg(is_refusal) AS ref
       FROM {ev} GROUP BY ALL)
     JOIN (SELECT {keys}, stddev_pop(acc) AS sd FROM (
@@ -176,7 +181,7 @@ ORACLES["stability"] = f"""WITH {EV} SELECT model, first_run_accuracy AS single,
   {GAIN} AS ensemble_gain, run_acc_std, refusal_rate
 FROM ({ranked([])}) LEFT JOIN (SELECT model, run_acc_std, refusal_rate FROM ({accuracy([])})) USING (model)"""
 ORACLES["overall_table"] = f"""WITH {EV_RESP}, b AS ({board('ev')}), r AS (
-  SELECT model, {rnd('avg(response_fk_grade)', 2)} AS mean_response_fk_grade,
+  SELECT model, {mean('avg(response_fk_grade)', 2)} AS mean_response_fk_grade,
     {rnd('avg(total_tokens)', 1)} AS mean_total_tokens FROM resp GROUP BY 1)
 SELECT rank, k.model, first_run_accuracy AS single, ensemble_accuracy AS ensemble, {GAIN} AS ensemble_gain,
   n_questions, macro_accuracy, micro_accuracy, refusal_rate, mean_response_fk_grade, mean_total_tokens
@@ -192,11 +197,11 @@ def item_scores(vote: bool) -> str:
 
 
 for _name, _vote in {"item_stats": False, "ensemble_item_stats": True}.items():
-    ORACLES[_name] = f"""WITH {EV} SELECT question_id, area, question_type, {rnd('f', 3)} AS fraction_correct,
-      {rnd('d', 3)} AS discrimination, CAST(f >= 0.95e0 AS INTEGER) AS trivial, CAST(f <= 0.05e0 AS INTEGER) AS broken
+    ORACLES[_name] = f"""WITH {EV} SELECT question_id, area, question_type, {mean('f', 3)} AS fraction_correct,
+      {mean('d', 3)} AS discrimination, CAST(f >= 0.95e0 AS INTEGER) AS trivial, CAST(f <= 0.05e0 AS INTEGER) AS broken
     FROM ({item_scores(_vote)})"""
 ORACLES["psychometrics"] = f"""WITH {EV} SELECT area, question_type, count(*) AS n_items,
-  {rnd('avg(f)', 3)} AS mean_difficulty, {rnd('avg(d)', 3)} AS mean_discrimination,
+  {mean('avg(f)', 3)} AS mean_difficulty, {mean('avg(d)', 3)} AS mean_discrimination,
   {rnd('avg(CAST(f >= 0.95e0 AS INTEGER))', 3)} AS pct_trivial,
   {rnd('avg(CAST(f <= 0.05e0 AS INTEGER))', 3)} AS pct_broken
 FROM ({item_scores(True)}) GROUP BY 1, 2"""
@@ -338,7 +343,7 @@ def reliability(src: str, panel: str, cols: list[str]) -> str:
     r = float(len(cols))
     differ = " OR ".join(f"{a} <> {b}" for i, a in enumerate(cols) for b in cols[i + 1:])
     return f"""SELECT panel, n AS n_items, {len(cols)} AS n_judges,
-      {rnd('CASE WHEN pe = 1 THEN CASE WHEN pbar = 1 THEN 1e0 END ELSE (pbar - pe) / (1e0 - pe) END', 3)} AS fleiss_kappa,
+      {mean('CASE WHEN pe = 1 THEN CASE WHEN pbar = 1 THEN 1e0 END ELSE (pbar - pe) / (1e0 - pe) END', 3)} AS fleiss_kappa,
       {rnd('raw', 3)} AS raw_agreement, {rnd('flag', 3)} AS flag_rate
     FROM (SELECT *, p1 * p1 + (1 - p1) * (1 - p1) AS pe FROM (
       SELECT panel, count(k) AS n, avg((k * (k - 1) + ({r} - k) * ({r} - k - 1)) / ({r} * ({r} - 1))) AS pbar,
@@ -371,8 +376,8 @@ ORACLES["judge_pass_rates"] = f"""WITH {PANEL}, {LONG_PANEL} SELECT j AS judge,
 ORACLES["self_preference"] = f"""WITH {LONG}, m AS (SELECT judge, model, avg(b) AS mean_b,
     (CAST(substr(judge, 2) AS INTEGER) % 2) = (CAST(substr(model, 7) AS INTEGER) % 2) AS same FROM long GROUP BY 1, 2),
 s AS (SELECT judge, avg(mean_b) FILTER (same) AS a, avg(mean_b) FILTER (NOT same) AS o FROM m GROUP BY 1)
-SELECT judge, {rnd('a', 4)} AS mean_score_same_family, {rnd('o', 4)} AS mean_score_other_family,
-  {rnd('a - o', 4)} AS self_preference_delta FROM s"""
+SELECT judge, {mean('a', 4)} AS mean_score_same_family, {mean('o', 4)} AS mean_score_other_family,
+  {mean('a - o', 4)} AS self_preference_delta FROM s"""
 
 
 # --- calibration ----------------------------------------------------------------------------------------
@@ -401,7 +406,7 @@ def versus_human(source: str, group: str) -> str:
       ELSE ({po} - ({p0} + {p1})) / (1e0 - ({p0} + {p1})) END"""
     fc = ratio("count(*) FILTER (llm = 1 AND human = 0)", "greatest(1, count(*) FILTER (human = 0))")
     fi = ratio("count(*) FILTER (llm = 0 AND human = 1)", "greatest(1, count(*) FILTER (human = 1))")
-    return f"""SELECT {source} AS source, judge, count(*) AS n, {rnd(po, 3)} AS accuracy, {rnd(kappa, 3)} AS cohen_kappa,
+    return f"""SELECT {source} AS source, judge, count(*) AS n, {rnd(po, 3)} AS accuracy, {mean(kappa, 3)} AS cohen_kappa,
       {rnd(fc, 3)} AS false_correct_rate, {rnd(fi, 3)} AS false_incorrect_rate FROM h GROUP BY {group}"""
 
 
@@ -462,7 +467,7 @@ LOW, HIGH = ITEM_BAND
 _n = ", ".join(f"count(*) FILTER (question_type = '{s}') AS n_{s}" for s in SEGMENTS)
 _n0 = ", ".join(f"coalesce(n_{s}, 0) AS n_{s}" for s in SEGMENTS)
 QUALITY = ITEMS + f""", quality AS (SELECT area, coalesce(n, 0) AS n_questions, {_n0}, standards_total, standards_covered,
-    {rnd('coalesce(g, 0)', 2)} AS mean_fk_grade, {rnd('coalesce(b, 0)', 3)} AS frac_in_band
+    {mean('coalesce(g, 0)', 2)} AS mean_fk_grade, {rnd('coalesce(b, 0)', 3)} AS frac_in_band
   FROM (SELECT area, count(*) AS standards_total, count(*) FILTER (EXISTS (
       SELECT 1 FROM items i WHERE i.area = dim.area AND i.standard = dim.standard)) AS standards_covered
     FROM dim GROUP BY 1)
@@ -471,7 +476,7 @@ QUALITY = ITEMS + f""", quality AS (SELECT area, coalesce(n, 0) AS n_questions,
 ORACLES["dataset_quality"] = f"WITH {QUALITY} SELECT * FROM quality"
 ORACLES["quality_summary"] = f"""WITH {QUALITY} SELECT CAST(sum(n_questions) AS BIGINT) AS total_questions,
   count(DISTINCT area) AS areas, concat(min(standards_covered), '/', max(standards_total)) AS min_coverage,
-  {rnd('avg(frac_in_band)', 3)} AS mean_frac_in_band FROM quality"""
+  {mean('avg(frac_in_band)', 3)} AS mean_frac_in_band FROM quality"""
 ORACLES["quality_warnings"] = f"""WITH {QUALITY} SELECT area, n_questions,
   concat(standards_covered, '/', standards_total) AS coverage, CAST(n_questions < 300 AS INTEGER) AS below_quota,
   CAST(standards_covered < standards_total AS INTEGER) AS uncovered_standards
@@ -485,7 +490,7 @@ UNION ALL SELECT area, 'Subtotal', {_c}, count(question_type) FROM filled GROUP
 UNION ALL SELECT 'All areas', 'Total', {_c}, count(question_type) FROM filled"""
 _sum = ", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in SEGMENTS)
 ORACLES["composition_total"] = f"""WITH {ITEMS}, comp AS (SELECT area, concat('Region ', area) AS title, count(*) AS questions,
-  count(DISTINCT standard) AS standards, {_c}, {rnd('avg(fk_grade)', 2)} AS "mean FK" FROM items GROUP BY 1)
+  count(DISTINCT standard) AS standards, {_c}, {mean('avg(fk_grade)', 2)} AS "mean FK" FROM items GROUP BY 1)
 SELECT * FROM comp UNION ALL
 SELECT 'TOTAL', '', CAST(sum(questions) AS BIGINT), CAST(sum(standards) AS BIGINT), {_sum}, NULL FROM comp"""
 _targets = " ".join(f"WHEN '{t}' THEN {n}" for t, n in REVIEW_TARGETS.items())
@@ -510,7 +515,7 @@ def tokens(group: list[str]) -> str:
     cells = []
     for col, label in {"prompt": "input", "completion": "output", "reasoning": "reasoning", "total": "total"}.items():
         cells.append(f"{rnd(f'avg({col}_tokens)', 1)} AS {label}_mean")
-        cells.append(f"{rnd(f'coalesce(stddev_samp({col}_tokens), 0)', 1)} AS {label}_sd")
+        cells.append(f"{mean(f'coalesce(stddev_samp({col}_tokens), 0)', 1)} AS {label}_sd")
     return f"""WITH {RESP} SELECT {keys}, count(*) AS n, {', '.join(cells)}, {big('sum(total_tokens)')} AS total_sum,
       {rnd('avg(CASE WHEN reasoning_tokens > 0 THEN 1 ELSE 0 END)', 3)} AS reasoning_available_frac
     FROM resp GROUP BY {keys}"""
@@ -521,9 +526,9 @@ ORACLES["token_usage_by_area"] = tokens(["area"])
 ORACLES["token_usage_by_type"] = tokens(["question_type"])
 ORACLES["reading_level"] = f"""WITH {RESP}, m AS (SELECT model, area, question_type, avg(response_fk_grade) AS g,
   avg(response_reading_ease) AS e, count(*) AS n FROM resp GROUP BY 1, 2, 3)
-SELECT model, area, question_type, {rnd('g', 2)} AS mean_fk_grade, {rnd('e', 2)} AS mean_reading_ease, n,
-  {rnd('CASE WHEN g < 5 THEN 5e0 - g WHEN g > 9 THEN g - 9e0 ELSE 0e0 END', 2)} AS dist_from_band FROM m"""
-ORACLES["reading_level_model"] = f"""WITH {RESP} SELECT model, {rnd('avg(response_fk_grade)', 2)} AS mean_response_fk_grade,
+SELECT model, area, question_type, {mean('g', 2)} AS mean_fk_grade, {mean('e', 2)} AS mean_reading_ease, n,
+  {mean('CASE WHEN g < 5 THEN 5e0 - g WHEN g > 9 THEN g - 9e0 ELSE 0e0 END', 2)} AS dist_from_band FROM m"""
+ORACLES["reading_level_model"] = f"""WITH {RESP} SELECT model, {mean('avg(response_fk_grade)', 2)} AS mean_response_fk_grade,
   '5.0–9.0' AS target_band FROM resp GROUP BY 1"""
 ORACLES["usage_stats"] = f"""WITH {RESP} SELECT count(*) AS responses, {big('sum(total_tokens)')} AS total_tokens,
   {big('sum(completion_tokens)')} AS completion_tokens, {big('sum(reasoning_tokens)')} AS reasoning_tokens,
