@@ -11,8 +11,10 @@ from tallysmith.functions import replies as R
 from tallysmith.functions import text as T
 from tallysmith.functions.numbers import round_to, truthy
 from tallysmith.operators import (
-    accuracy, agreement, calibration, coverage, ensemble, items, overrides, panel, quota, significance, usage,
+    accuracy, agreement, calibration, coverage, ensemble, generation, items, overrides, panel, quota,
+    significance, similarity, usage,
 )
+from tallysmith.operators.common import number_within
 from tallysmith.sources import facts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,3 +680,73 @@ def id_allocation(spark, sf):
         "area", F.concat("area", F.lit("-"), F.lpad((F.col("position") % 900).cast("string"), 3, "0")).alias("question_id")
     )
     return quota.allocate_ids(new, old, "position")
+
+
+# --- near duplicates and generation ---------------------------------------------------------------------
+
+def _turn_pairs(spark, sf) -> DataFrame:
+    turns = facts.table(spark, sf, "conversations").select("conv_id", "turn", T.token_set("text").alias("a"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return turns.join(after, ["conv_id", "turn"])
+
+
+@query
+def token_set_overlap(spark, sf):
+    """Token overlap of every turn with the next one: everything but the alignment."""
+    parts = _turn_pairs(spark, sf).withColumn("p", similarity.overlap_parts(F.col("a"), F.col("b")))
+    p = F.col("p")
+    return parts.select(
+        "conv_id", "turn", "p.n_common", "p.sect", "p.size_a", "p.size_b",
+        round_to(similarity.ratio_without_lcs(p), 6).alias("quick_ratio"),
+    )
+
+
+@query
+def token_set_ratio(spark, sf):
+    scored = similarity.token_set_ratio(_turn_pairs(spark, sf), "a", "b")
+    return scored.select("conv_id", "turn", round_to("ratio", 6).alias("ratio"))
+
+
+@query
+def token_set_copies(spark, sf):
+    return similarity.token_set_copies(facts.part_questions(spark, sf), "question", "position")
+
+
+@query
+def greedy_dedupe(spark, sf):
+    deduped = similarity.greedy_dedupe(facts.part_questions(spark, sf))
+    return deduped.select("position", "area", "question", "kept")
+
+
+@query
+def question_bank_dedupe(spark, sf):
+    bank = facts.table(spark, sf, "benchmark").withColumnsRenamed({"item_id": "position", "text": "question"})
+    return similarity.greedy_dedupe(bank, area=None).select("position", "kept")
+
+
+def _part_plan(spark, sf, per_type: int) -> DataFrame:
+    dims = facts.standards(spark, sf).join(
+        facts.areas(spark, sf).select("area", F.col("ordinal").alias("area_ordinal")), "area"
+    )
+    plan = quota.quota_plan(dims, dict.fromkeys(ensemble.QUESTION_TYPES, per_type))
+    return plan.join(dims.select("area", "standard", "area_ordinal"), ["area", "standard"])
+
+
+@query
+def generation_accept(spark, sf):
+    """Parts as candidates for the slots of their brand, two wanted per slot."""
+    need = _part_plan(spark, sf, 12).withColumn("need", F.col("target"))
+    outcome = generation.accept_candidates(facts.part_questions(spark, sf), need)
+    return outcome.select("position", "area", "standard", "question_type", "question", "outcome")
+
+
+@query
+def generation_loop(spark, sf):
+    """Up to three rounds of filling quotas from the parts, served slot by slot."""
+    serial = number_within(facts.part_questions(spark, sf), quota.SLOT, "position", "serial")
+    pool = serial.select(*quota.SLOT, "serial", "question", F.col("reference_answer").alias("answer"))
+    types = {t: i for i, t in enumerate(ensemble.QUESTION_TYPES)}
+    result = generation.generate(
+        _part_plan(spark, sf, 15), generation.pool_provider(pool), types, (-20.0, 9.0), max_rounds=3, patience=1
+    )
+    return result.accepted.select(*quota.SLOT, "round", "position", "question", "answer", "fk_grade")

@@ -600,3 +600,22 @@ n AS (SELECT area, standard, position, coalesce(first, 1) + row_number() OVER (P
   FROM items LEFT JOIN f USING (area))
 SELECT area, standard, position, concat(area, '-', CASE WHEN num < 1000 THEN lpad(CAST(num AS VARCHAR), 3, '0')
   ELSE CAST(num AS VARCHAR) END) AS question_id FROM n"""
+
+
+# --- near duplicates ------------------------------------------------------------------------------------
+
+TOKENS = f"list_sort(list_distinct({NORMAL}))"
+ORACLES["token_set_overlap"] = f"""WITH t AS (SELECT conv_id, turn, {TOKENS} AS a FROM conversations),
+p AS (SELECT x.conv_id, x.turn, x.a, y.a AS b, list_filter(x.a, lambda w: list_contains(y.a, w)) AS common
+  FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = y.turn - 1),
+l AS (SELECT *, len(common) AS n, length(array_to_string(common, ' ')) AS sect, CAST(len(common) > 0 AS INTEGER) AS gap,
+  length(array_to_string(list_filter(a, lambda w: NOT list_contains(common, w)), ' ')) AS la,
+  length(array_to_string(list_filter(b, lambda w: NOT list_contains(common, w)), ' ')) AS lb FROM p)
+SELECT conv_id, turn, CAST(n AS INTEGER) AS n_common, CAST(sect AS INTEGER) AS sect,
+  CAST(sect + gap + la AS INTEGER) AS size_a, CAST(sect + gap + lb AS INTEGER) AS size_b,
+  {rnd("""CASE WHEN len(a) = 0 OR len(b) = 0 OR n = 0 THEN 0e0 WHEN la = 0 OR lb = 0 THEN 100e0
+    ELSE greatest(100e0 - 100e0 * (gap + la) / (2 * sect + gap + la), 100e0 - 100e0 * (gap + lb) / (2 * sect + gap + lb)) END""", 6)} AS quick_ratio
+FROM l"""
+ORACLES["token_set_copies"] = f"""WITH t AS (SELECT p_brand AS area, p_partkey,
+  array_to_string(list_sort(list_distinct({NORMAL.replace('text', 'p_name')})), ' ') AS tokens FROM part)
+SELECT area, tokens, min(p_partkey) AS first_position, count(*) AS copies FROM t GROUP BY 1, 2 HAVING count(*) > 1"""
