@@ -129,13 +129,15 @@ def generate(
     overgen: float = 1.6,
     max_rounds: int = 20,
     patience: int = 2,
+    gate: Callable[[DataFrame], DataFrame] | None = None,
 ) -> GenerationResult:
     """Request candidates for open slots until every quota is met or ``max_rounds`` is reached.
 
     ``plan``: slot keys, ordinal (of the standard), area_ordinal, target. A provider row holds the slot keys,
-    item (its place in the reply), question, answer and optionally appropriate. Gates run from cheap to
-    expensive: empty text, reading grade, appropriateness, then duplicates and need. A slot without an
-    accepted candidate in ``patience`` rounds in a row hands its need to its open sibling standards.
+    item (its place in the reply), question and answer. Checks run from cheap to expensive: empty text,
+    reading grade, then ``gate`` (adds a boolean ``appropriate`` to what is left), then duplicates and need.
+    A slot without an accepted candidate in ``patience`` rounds in a row hands its need to its open sibling
+    standards.
     """
     spark = plan.sparkSession
     order = F.create_map(*[F.lit(x) for pair in type_order.items() for x in pair])
@@ -171,13 +173,15 @@ def generate(
         ).filter("question <> '' AND answer <> ''")
         graded = checkpointed(judged.withColumn("grade", fk_grade("question")))
         level = in_band("grade", *grade_band)
-        fits = F.coalesce(F.col("appropriate"), F.lit(True)) if "appropriate" in graded.columns else F.lit(True)
         grade_text = F.concat(F.lit("fk_grade="), round_to("grade", 1).cast("string"), F.lit("_out_of_band"))
-        reason = F.when(~level, grade_text).when(~fits, "llm_inappropriate")
-        gated = graded.withColumn("reason", reason)
+        readable = graded.filter(level)
+        if gate is not None:
+            readable = checkpointed(gate(readable))
+            unfit = readable.filter(~F.col("appropriate")).withColumn("reason", F.lit("llm_inappropriate"))
+            readable = readable.filter("appropriate").drop("appropriate")
         before = _earlier(existing, accepted_parts)
         outcome = checkpointed(
-            accept_candidates(gated.filter("reason IS NULL"), cells.select(*SLOT, "need"), before, threshold)
+            accept_candidates(readable, cells.select(*SLOT, "need"), before, threshold)
         )
         new = outcome.filter(F.col("outcome") == ACCEPTED)
         accepted_parts.append(
@@ -185,7 +189,10 @@ def generate(
         )
         duplicate = outcome.filter(F.col("outcome") == DUPLICATE).withColumn("reason", F.lit(DUPLICATE))
         columns = [*SLOT, "question", "reason", "round"]
-        reject_parts += [gated.filter("reason IS NOT NULL").select(*columns), duplicate.select(*columns)]
+        reject_parts.append(graded.filter(~level).withColumn("reason", grade_text).select(*columns))
+        if gate is not None:
+            reject_parts.append(unfit.select(*columns))
+        reject_parts.append(duplicate.select(*columns))
         slots = checkpointed(_after_round(slots, new, requests, patience))
     if not accepted_parts:
         empty = spark.createDataFrame([], "area string, standard string, question_type string, position bigint, "
