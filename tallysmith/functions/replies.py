@@ -64,15 +64,13 @@ def default_true(obj: Column, name: str) -> Column:
 
 
 def question_items(obj: Column) -> Column:
-    """Array of (question, answer) with both trimmed and non-empty."""
-    raw = F.from_json(
-        F.try_variant_get(obj, "$.items", "string"),
-        "array<struct<question: string, answer: string>>",
-    )
+    """Array of (question, answer), trimmed; entries that are no object or miss a part are left out."""
+    raw = F.try_variant_get(obj, "$.items", "array<variant>")
     trimmed = F.transform(
         raw,
         lambda i: F.struct(
-            F.trim(i["question"]).alias("question"), F.trim(i["answer"]).alias("answer")
+            F.trim(_field(i, "question", "string")).alias("question"),
+            F.trim(_field(i, "answer", "string")).alias("answer"),
         ),
     )
     return F.filter(trimmed, lambda i: (F.length(i["question"]) > 0) & (F.length(i["answer"]) > 0))

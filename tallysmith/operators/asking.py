@@ -67,6 +67,8 @@ def ask(
     """
     schema = StructType([*tasks.schema.fields, *REPLY_FIELDS])
     names = [f.name for f in REPLY_FIELDS]
+    if set(names) & set(tasks.columns):
+        raise ValueError(f"task columns must not be named like reply fields: {sorted(set(names) & set(tasks.columns))}")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(parallel) as pool:
