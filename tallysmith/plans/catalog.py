@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from tallysmith.operators import (
     accuracy, agreement, calibration, coverage, ensemble, generation, items, overrides, panel, quota,
     significance, similarity, usage,
 )
-from tallysmith.operators.common import number_within
+from tallysmith.operators.common import number_within, scratch_root
 from tallysmith.sources import facts
+from tallysmith.streaming.resume import KeyedTable, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -750,3 +752,16 @@ def generation_loop(spark, sf):
         _part_plan(spark, sf, 15), generation.pool_provider(pool), types, (-20.0, 9.0), max_rounds=3, patience=1
     )
     return result.accepted.select(*quota.SLOT, "round", "position", "question", "answer", "fk_grade")
+
+
+# --- incremental loads ----------------------------------------------------------------------------------
+
+@query
+def incremental_append(spark, sf):
+    """A third of the events is in the table already; the stream adds the others, each once."""
+    source = facts.table(spark, sf, "events").select("event_id", "event_type", "value")
+    table = KeyedTable(spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}", ["event_id"], source.schema)
+    table.append(source.filter("event_id % 3 = 0"))
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet")
+    follow(stream, table, f"{scratch_root(spark)}/{uuid.uuid4().hex}")
+    return table.read()

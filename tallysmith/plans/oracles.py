@@ -619,3 +619,4 @@ FROM l"""
 ORACLES["token_set_copies"] = f"""WITH t AS (SELECT p_brand AS area, p_partkey,
   array_to_string(list_sort(list_distinct({NORMAL.replace('text', 'p_name')})), ' ') AS tokens FROM part)
 SELECT area, tokens, min(p_partkey) AS first_position, count(*) AS copies FROM t GROUP BY 1, 2 HAVING count(*) > 1"""
+ORACLES["incremental_append"] = "SELECT event_id, event_type, value FROM events"
