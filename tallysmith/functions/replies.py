@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import as_column
+from tallysmith.functions.numbers import as_column, bind
 
 
 def _as_object(text: Column) -> Column:
-    parsed = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    return bind(
+        F.try_parse_json(text), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    )
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def strip_fence(reply: Column | str) -> Column:
     """Remove a surrounding code fence and blanks."""
-    text = F.regexp_replace(F.regexp_replace(as_column(reply), r"^\s+", ""), r"\s+$", "")
-    inner = F.regexp_replace(text, r"^```(?:json)?", "")
-    inner = F.regexp_replace(inner, r"(?s)```(?:(?!```).)*$", "")
-    inner = F.regexp_replace(F.regexp_replace(inner, r"^\s+", ""), r"\s+$", "")
-    return F.when(text.startswith("```"), inner).otherwise(text)
+
+    def unfenced(text: Column) -> Column:
+        inner = F.regexp_replace(text, r"(?s)^```(?:json)?|```(?:(?!```).)*$", "")
+        return F.when(text.startswith("```"), _strip(inner)).otherwise(text)
+
+    return bind(_strip(as_column(reply)), unfenced)
 
 
 def parse_reply(reply: Column | str) -> Column:
     """The reply as a VARIANT object: the whole text, else its outermost braces, else NULL."""
-    clean = strip_fence(reply)
-    braces = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
-    return F.coalesce(_as_object(clean), _as_object(braces))
+
+    def parsed(clean: Column) -> Column:
+        first, last = F.instr(clean, "{"), F.length(clean) - F.instr(F.reverse(clean), "}") + 1
+        braces = F.when((first > 0) & (last > first), F.substring(clean, first, last - first + 1))
+        return F.coalesce(_as_object(clean), _as_object(braces))
+
+    return bind(strip_fence(reply), parsed)
 
 
 def _field(obj: Column, name: str, kind: str) -> Column:

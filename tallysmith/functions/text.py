@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import as_column
+from tallysmith.functions.numbers import as_column, bind
 
 # Words ignored when two questions are compared.
 STOP_WORDS = (
@@ -20,14 +20,23 @@ REFUSAL_PATTERN = r"(?i)^\b(i\s*(can('|no)?t|cannot|am unable|won'?t)|as an ai)\
 # A word is a run of non-blanks holding a letter or digit; a vowel group counts as a syllable.
 WORD_PATTERN = r"\S*[\p{L}\p{N}_]\S*"
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"
+# A final e after a consonant other than l is silent, unless it is the only vowel of the word.
 SILENT_E_PATTERN = rf"[^{VOWELS}l]e[^\p{{L}}]*$"
 
+# The same rules counted over a whole text; each pattern runs through the text once without backtracking.
+_START, _END = r"(?<!\S)", r"(?!\S)"
+_RUNS = r"\S++"
+_RUNS_WITHOUT_LETTERS = rf"{_START}[^\s\p{{L}}\p{{N}}_]++{_END}"
+_RUNS_WITHOUT_VOWEL = rf"{_START}[^\s{VOWELS}]++{_END}"
+_VOWEL_GROUPS = rf"[{VOWELS}]++"
+_FINAL_E = rf"[^{VOWELS}l\s]e[^\p{{L}}\s]*+{_END}"
+_ONLY_FINAL_E = rf"{_START}[^\s{VOWELS}]*[^{VOWELS}l\s]e[^\p{{L}}\s]*+{_END}"
+
 
 def normal_tokens(text: Column | str) -> Column:
     """Lower-case ASCII words without stop words, in order."""
     words = F.regexp_extract_all(F.lower(as_column(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def normalize(text: Column | str) -> Column:
@@ -39,10 +48,6 @@ def token_set(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(normal_tokens(text)))
 
 
-def words(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(as_column(text)), F.lit(WORD_PATTERN), F.lit(0))
-
-
 def sentence_count(text: Column | str) -> Column:
     """Pieces between sentence ends that hold more than two words; at least one."""
     pieces = F.split(as_column(text), "[.!?]+")
@@ -50,29 +55,30 @@ def sentence_count(text: Column | str) -> Column:
     return F.greatest(F.size(real), F.lit(1))
 
 
-def word_syllables(word: Column) -> Column:
-    groups = F.regexp_count(word, F.lit(f"[{VOWELS}]+"))
-    silent = F.when((groups > 1) & word.rlike(SILENT_E_PATTERN), 1).otherwise(0)
-    return F.greatest(groups - silent, F.lit(1))
+def _blank(text: Column) -> Column:
+    return F.coalesce(F.trim(F.translate(text, "\t\n\r", "   ")) == "", F.lit(True))
 
 
-def syllable_count(word_list: Column) -> Column:
-    return F.aggregate(word_list, F.lit(0), lambda acc, w: acc + word_syllables(w))
+def readability_counts(text: Column | str) -> Column:
+    """Struct of words, sentences and syllables.
 
+    Every word has at least one syllable: its vowel groups, less one for a silent final e.
+    """
 
-def _blank(text: Column) -> Column:
-    return F.coalesce(F.trim(F.translate(text, "\t\n\r", "   ")) == "", F.lit(True))
+    def count(lower: Column, pattern: str) -> Column:
+        return F.regexp_count(lower, F.lit(pattern))
 
+    def counts(lower: Column) -> Column:
+        no_letters = count(lower, _RUNS_WITHOUT_LETTERS)
+        silent = count(lower, _FINAL_E) - count(lower, _ONLY_FINAL_E)
+        without_vowel = count(lower, _RUNS_WITHOUT_VOWEL) - no_letters
+        return F.struct(
+            (count(lower, _RUNS) - no_letters).alias("words"),
+            sentence_count(lower).alias("sentences"),
+            (count(lower, _VOWEL_GROUPS) - silent + without_vowel).alias("syllables"),
+        )
 
-def readability_counts(text: Column | str) -> Column:
-    """Struct of words, sentences and syllables."""
-    text = as_column(text)
-    word_list = words(text)
-    return F.struct(
-        F.size(word_list).alias("words"),
-        sentence_count(text).alias("sentences"),
-        syllable_count(word_list).alias("syllables"),
-    )
+    return bind(F.lower(F.coalesce(as_column(text), F.lit(""))), counts)
 
 
 def grade_from_counts(counts: Column) -> Column:
@@ -90,11 +96,11 @@ def ease_from_counts(counts: Column) -> Column:
 
 
 def fk_grade(text: Column | str) -> Column:
-    return grade_from_counts(readability_counts(text))
+    return bind(readability_counts(text), grade_from_counts)
 
 
 def reading_ease(text: Column | str) -> Column:
-    return ease_from_counts(readability_counts(text))
+    return bind(readability_counts(text), ease_from_counts)
 
 
 def is_refusal(response: Column | str, is_error: Column | str) -> Column:

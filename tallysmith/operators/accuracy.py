@@ -46,21 +46,30 @@ def accuracy_table(trials: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
+# Response figures of the leaderboard: column, name and digits.
+RESPONSE_FIGURES = (
+    ("response_fk_grade", "mean_response_fk_grade", 2),
+    ("total_tokens", "mean_total_tokens", 1),
+    ("reasoning_tokens", "mean_reasoning_tokens", 1),
+)
+
+
 def response_means(responses: DataFrame) -> DataFrame:
     """Mean reading grade and token counts per model."""
     return keyed(responses, ["model"]).groupBy("model").agg(
-        round_mean(F.avg("response_fk_grade"), 2).alias("mean_response_fk_grade"),
-        round_to(F.avg("total_tokens"), 1).alias("mean_total_tokens"),
-        round_to(F.avg("reasoning_tokens"), 1).alias("mean_reasoning_tokens"),
+        *[round_mean(F.avg(column), digits).alias(name) for column, name, digits in RESPONSE_FIGURES]
     )
 
 
 def leaderboard(trials: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """Models ranked by macro accuracy (every area weighs the same); micro weighs every answer the same.
 
-    Rows are combined once per (model, area); the ranking window sees one row per model.
+    Rows are combined once per (model, area); the ranking window sees one row per model. Response figures
+    come from ``responses``, or from the trials themselves when these carry them, without a second scan.
     """
-    per_area = keyed(trials, ["model"]).groupBy("model", "area").agg(*_score_sums())
+    carried = [f for f in RESPONSE_FIGURES if responses is None and f[0] in trials.columns]
+    sums = [s for c, _, _ in carried for s in (F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))]
+    per_area = keyed(trials, ["model"]).groupBy("model", "area").agg(*_score_sums(), *sums)
     in_area = F.col("area").isNotNull()
     board = per_area.groupBy("model").agg(
         F.avg(F.when(in_area, share(F.col("correct"), F.col("n")))).alias("macro"),
@@ -68,6 +77,7 @@ def leaderboard(trials: DataFrame, responses: DataFrame | None = None) -> DataFr
         F.avg(F.when(in_area, share(F.col("rubric_sum"), F.col("rubric_n")))).alias("rubric"),
         share(F.sum("refusals"), F.sum("n")).alias("refusal"),
         F.sum("n").alias("n_items"),
+        *[share(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(name) for c, name, _ in carried],
     )
     board = board.select(
         "model",
@@ -76,6 +86,7 @@ def leaderboard(trials: DataFrame, responses: DataFrame | None = None) -> DataFr
         round_mean("rubric", 4).alias("rubric_macro"),
         round_to("refusal", 4).alias("refusal_rate"),
         "n_items",
+        *[round_mean(name, digits).alias(name) for _, name, digits in carried],
     )
     if responses is not None:
         board = board.join(response_means(responses), "model", "left")

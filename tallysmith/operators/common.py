@@ -29,6 +29,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on an input that comes in fewer splits than there are cores.
+
+    Large tables have more splits than cores and pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +16,15 @@ from tallysmith.operators import quota
 from tallysmith.operators.common import checkpointed
 from tallysmith.operators.quota import SLOT
 from tallysmith.operators.similarity import (
-    DEFAULT_THRESHOLD, _candidates, _settle, _similar, blocking_keys, letter_counts,
+    DEFAULT_THRESHOLD, _candidates, _similar, blocking_keys, letter_counts, set_ratio,
 )
 
 # A provider gets (requests, round) and returns candidates for the requested slots.
 Provider = Callable[[DataFrame, int], DataFrame]
 
+# A round looks at this many candidates per slot: a multiple of the need, and at least some.
+FRONT_FACTOR, FRONT_LEAST = 8, 64
+
 ACCEPTED, DUPLICATE, FULL = "accepted", "duplicate", "slot_full"
 
 
@@ -37,9 +41,10 @@ def accept_candidates(
     area is a duplicate, every other one is accepted. ``need`` has one row per open slot; ``existing`` holds
     area, position and question of questions accepted before (with smaller positions).
 
-    Both rules depend on earlier choices, so they are settled together: each round looks at the next ``need``
-    candidates of every slot up to the point where no slot can hide an earlier candidate, decides them, and
-    removes what they rule out. A round looks at no more rows than the quota asks for.
+    Both rules depend on earlier choices, so they are settled together: each round looks at the next few
+    candidates of every slot up to the point where no slot can hide an earlier candidate, decides them in
+    order, and removes what they rule out from the rest by a join. How many candidates of an area a round
+    decides depends on the quota plan alone, never on the number of candidates.
     """
     source = candidates.select(*SLOT, "position", token_set("question").alias("tokens"))
     open_slots = need.filter("need > 0").select(*SLOT, "need")
@@ -60,27 +65,31 @@ def accept_candidates(
 
     accepted_parts: list[DataFrame] = []
     left = open_slots
-    most = need.agg(F.max("need")).first()[0] or 0
     while not live.isEmpty():
+        room = F.greatest(F.col("need") * FRONT_FACTOR, F.lit(FRONT_LEAST))
+        most = left.agg(F.max(room)).first()[0]
         turn = F.row_number().over(Window.partitionBy(*SLOT).orderBy("position"))
         heads = live.withColumn("turn", turn).filter(F.col("turn") <= most).join(left, SLOT)
-        heads = checkpointed(heads.filter(F.col("turn") <= F.col("need")))
+        heads = checkpointed(heads.filter(F.col("turn") <= room))
         shown = heads.groupBy(*SLOT).agg(F.count("*").alias("shown"), F.max("position").alias("last"))
         size = live.groupBy(*SLOT).agg(F.count("*").alias("size"))
         hidden = shown.join(size, SLOT).filter("size > shown")
         horizon = hidden.groupBy("area").agg(F.min("last").alias("horizon"))
         safe = heads.join(horizon, "area", "left").filter("horizon IS NULL OR position <= horizon")
-        safe = checkpointed(safe.select(*SLOT, "position"))
-        near = keys.join(safe.select("area", "position"), ["area", "position"], "left_semi")
-        edges = checkpointed(_similar(_candidates(near, near, threshold), sets, threshold))
-        chosen, _ = _settle(safe.select("area", "position", F.lit(True).alias("ready")), edges)
-        accepted = checkpointed(safe.join(chosen, ["area", "position"], "left_semi"))
+        with_words = safe.join(sets.select("area", "position", "tokens"), ["area", "position"], "left")
+        chosen = with_words.select(*SLOT, "position", "need", "tokens").groupBy("area").applyInPandas(
+            _in_order(threshold), f"{', '.join(f'{c} string' for c in SLOT)}, position long"
+        )
+        accepted = checkpointed(chosen)
         accepted_parts.append(accepted)
 
         used = accepted.groupBy(*SLOT).agg(F.count("*").alias("used"))
         still = left.join(used, SLOT, "left").withColumn("need", F.col("need") - F.coalesce("used", F.lit(0)))
         left = checkpointed(still.filter("need > 0").select(*SLOT, "need"))
-        undecided = live.join(safe, [*SLOT, "position"], "left_anti").join(left, SLOT, "left_semi")
+        decided = safe.select(*SLOT, "position")
+        undecided = checkpointed(live.join(decided, [*SLOT, "position"], "left_anti").join(left, SLOT, "left_semi"))
+        if undecided.isEmpty():
+            break
         live = _without_similar(undecided, accepted.select("area", "position"), keys, sets, threshold)
 
     marks = candidates.join(need.select(*SLOT, F.col("need").alias("_need")), SLOT, "left")
@@ -95,6 +104,27 @@ def accept_candidates(
     return full.withColumn("outcome", outcome).select(*candidates.columns, "outcome")
 
 
+def _in_order(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Decide the front of one area in order; its size is bounded by the plan (slots x front)."""
+
+    def decide(front: pd.DataFrame) -> pd.DataFrame:
+        left: dict[tuple[str, str], int] = {}
+        taken: list[int] = []
+        seen: list[frozenset] = []
+        front = front.sort_values("position", ignore_index=True)
+        for i, row in enumerate(front.itertuples(index=False)):
+            slot = (row.standard, row.question_type)
+            words = frozenset(row.tokens) if row.tokens is not None else frozenset()
+            if left.setdefault(slot, row.need) <= 0 or any(set_ratio(words, s) >= threshold for s in seen):
+                continue
+            left[slot] -= 1
+            seen.append(words)
+            taken.append(i)
+        return front.loc[taken, [*SLOT, "position"]]
+
+    return decide
+
+
 def _outcome(accepted, end):
     no_room = (F.coalesce("_need", F.lit(0)) <= 0) | (F.col("position") > end)
     return F.when(accepted, ACCEPTED).when(F.coalesce(no_room, F.lit(False)), FULL).otherwise(DUPLICATE)

@@ -27,7 +27,9 @@ def vote_patterns(trials: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("model", "vote"))).alias("pattern")
     )
     patterns = rows.groupBy("pattern").agg(F.count("*").alias("items"))
-    n_models = keyed(trials, ["model", "question_id"]).agg(F.count_distinct("model")).scalar()
+    # Counted over the same pattern table, whose shuffle Spark reuses here.
+    names = patterns.filter("items > 0").select(F.explode("pattern.model").alias("model"))
+    n_models = names.agg(F.count_distinct("model")).scalar()
     return patterns.filter(F.size("pattern") == n_models)
 
 

@@ -40,6 +40,21 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def set_ratio(a: frozenset[str], b: frozenset[str]) -> float:
+    """Token-set ratio of two small token sets."""
+    if not a or not b:
+        return 0.0
+    common = len(" ".join(a & b))
+    left, right = " ".join(sorted(a - b)), " ".join(sorted(b - a))
+    if common and not (left and right):
+        return 100.0
+    gap = 1 if common else 0
+    sizes = [common + gap + len(left), common + gap + len(right)]
+    best = max(100.0 - 100.0 * (n - common) / (common + n) for n in sizes) if common else 0.0
+    edits = len(left) + len(right) - 2 * lcs_length(left, right)
+    return max(best, 100.0 - 100.0 * edits / sum(sizes))
+
+
 @F.pandas_udf(LongType())
 def _lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     lengths = (lcs_length(a, b) for a, b in zip(left, right))

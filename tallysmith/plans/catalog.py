@@ -15,7 +15,7 @@ from tallysmith.operators import (
     accuracy, agreement, calibration, coverage, ensemble, generation, items, overrides, panel, quota,
     significance, similarity, usage,
 )
-from tallysmith.operators.common import number_within, scratch_root
+from tallysmith.operators.common import number_within, scratch_root, spread
 from tallysmith.sources import facts
 from tallysmith.streaming.resume import KeyedTable, follow
 
@@ -39,7 +39,7 @@ def query(function: Query) -> Query:
 
 @query
 def leaderboard(spark, sf):
-    return accuracy.leaderboard(facts.trials(spark, sf), facts.responses(spark, sf))
+    return accuracy.leaderboard(facts.scored_responses(spark, sf))
 
 
 @query
@@ -571,12 +571,12 @@ def stage_progress(spark, sf):
 
 @query
 def normalize_text(spark, sf):
-    return facts.table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("normalized"))
+    return spread(facts.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.normalize("text").alias("normalized"))
 
 
 @query
 def readability(spark, sf):
-    docs = facts.table(spark, sf, "documents")
+    docs = spread(facts.table(spark, sf, "documents").select("doc_id", "text"))
     counted = docs.select("doc_id", T.readability_counts("text").alias("c"))
     return counted.select(
         "doc_id", "c.words", "c.sentences", "c.syllables",
@@ -687,7 +687,7 @@ def id_allocation(spark, sf):
 # --- near duplicates and generation ---------------------------------------------------------------------
 
 def _turn_pairs(spark, sf) -> DataFrame:
-    turns = facts.table(spark, sf, "conversations").select("conv_id", "turn", T.token_set("text").alias("a"))
+    turns = spread(facts.table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", T.token_set("text").alias("a"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return turns.join(after, ["conv_id", "turn"])
 
@@ -762,6 +762,7 @@ def incremental_append(spark, sf):
     source = facts.table(spark, sf, "events").select("event_id", "event_type", "value")
     table = KeyedTable(spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}", ["event_id"], source.schema)
     table.append(source.filter("event_id % 3 = 0"))
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet")
+    # A glob works for a single file as well as for a folder of part files.
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parque[t]")
     follow(stream, table, f"{scratch_root(spark)}/{uuid.uuid4().hex}")
     return table.read()

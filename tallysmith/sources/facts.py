@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallysmith.operators.common import spread
 from tallysmith.operators.panel import judge_tasks
 
 MODELS = [f"model_{i}" for i in range(5)]
@@ -35,7 +36,7 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
     The rank filter also acts below the shuffle, so a part with very many lines sends three per task.
     """
     order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate"]
-    runs = Window.partitionBy("mid", "l_partkey").orderBy(*order)
+    runs = Window.partitionBy("l_partkey", "mid").orderBy(*order)
     lines = (
         table(spark, folder, "lineitem")
         .withColumn("mid", F.col("l_suppkey") % 5)
@@ -74,13 +75,9 @@ def _with_scores(answers: DataFrame) -> DataFrame:
     )
 
 
-def trials(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_scores(_answers(spark, folder)).select(*TRIAL_COLUMNS)
-
-
-def responses(spark: SparkSession, folder: str) -> DataFrame:
+def _with_tokens(answers: DataFrame) -> DataFrame:
     reasoning = F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0).cast("bigint")
-    with_tokens = _answers(spark, folder).withColumns(
+    columns = answers.withColumns(
         {
             "is_error": F.lit(0),
             "prompt_tokens": (20 + 3 * F.col("l_quantity")).cast("bigint"),
@@ -91,7 +88,21 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     total = F.col("prompt_tokens") + F.col("completion_tokens") + F.col("reasoning_tokens")
-    return with_tokens.withColumn("total_tokens", total).select(*RESPONSE_COLUMNS)
+    return columns.withColumn("total_tokens", total)
+
+
+def trials(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_scores(_answers(spark, folder)).select(*TRIAL_COLUMNS)
+
+
+def responses(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_tokens(_answers(spark, folder)).select(*RESPONSE_COLUMNS)
+
+
+def scored_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Trials that carry the figures of their response."""
+    extra = [c for c in RESPONSE_COLUMNS if c not in TRIAL_COLUMNS]
+    return _with_tokens(_with_scores(_answers(spark, folder))).select(*TRIAL_COLUMNS, *extra)
 
 
 def areas(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,4 +242,4 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit('{"score": "'), score, F.lit('", "rationale": "text"}')))
         .otherwise(F.concat(F.lit('{"score": '), score))
     )
-    return table(spark, folder, "events").select("event_id", reply.alias("reply"))
+    return spread(table(spark, folder, "events").select("event_id", "props")).select("event_id", reply.alias("reply"))
