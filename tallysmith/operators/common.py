@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,9 +49,12 @@ def scratch_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tallysmith-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallysmith-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -64,18 +68,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def number_within(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1 << 20
+    df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1 << 20, starts: DataFrame | None = None
 ) -> DataFrame:
     """Sequential number per key along a unique integer column, without one task per key.
 
     Rows are cut into value ranges of ``width``; a range holds at most ``width`` rows of a key because the
     order is unique. Each range is numbered on its own and shifted by the rows of the earlier ranges, so a
-    key holding a third of the table still spreads over many tasks.
+    key holding a third of the table still spreads over many tasks. ``starts`` (keys, start) gives the first
+    number of a key, 1 where it is missing; it is added to the small table of range sizes.
     """
     piece = df.withColumn("_piece", F.floor(F.col(order) / F.lit(width)))
     sizes = piece.groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    if starts is not None:
+        shifted = F.col("_offset") + F.coalesce("start", F.lit(1)) - 1
+        offsets = offsets.join(starts, [*keys], "left").select(*keys, "_piece", shifted.alias("_offset"))
     local = Window.partitionBy(*keys, "_piece").orderBy(order)
     numbered = piece.withColumn("_local", F.row_number().over(local))
     return (

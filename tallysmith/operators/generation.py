@@ -46,6 +46,8 @@ def accept_candidates(
     order, and removes what they rule out from the rest by a join. How many candidates of an area a round
     decides depends on the quota plan alone, never on the number of candidates.
     """
+    # Written first: with a known size Spark broadcasts the slots only while they are small.
+    need = checkpointed(need.select(*SLOT, "need"))
     source = candidates.select(*SLOT, "position", token_set("question").alias("tokens"))
     open_slots = need.filter("need > 0").select(*SLOT, "need")
     wanted = source.join(open_slots.drop("need"), SLOT, "left_semi")

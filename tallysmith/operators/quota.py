@@ -97,11 +97,11 @@ def next_numbers(existing: DataFrame) -> DataFrame:
 
 def allocate_ids(new: DataFrame, existing: DataFrame, position: str, width: int = 1 << 20) -> DataFrame:
     """Give new items ids that go on after the highest one of their area, in ``position`` order."""
-    numbered = number_within(new, ["area"], position, "_n", width)
-    joined = numbered.join(next_numbers(existing), "area", "left")
-    number = F.col("_n") - 1 + F.coalesce("next_number", F.lit(1).cast("bigint"))
+    starts = next_numbers(existing).withColumnRenamed("next_number", "start")
+    numbered = number_within(new, ["area"], position, "_n", width, starts)
+    number = F.col("_n")
     padded = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
-    return joined.withColumn("question_id", F.concat("area", F.lit("-"), padded)).drop("_n", "next_number")
+    return numbered.withColumn("question_id", F.concat("area", F.lit("-"), padded)).drop("_n")
 
 
 def areas_below_quota(need: DataFrame, quota: int) -> DataFrame:

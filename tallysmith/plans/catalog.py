@@ -194,11 +194,13 @@ def holm_adjust(spark, sf):
     return _rounded_tests(significance.holm_adjust(tests, "p_value", ["standard"]))
 
 
-@query
-def significance_tests(spark, sf):
+def _significance(spark, sf):
     return _rounded_tests(significance.significance(facts.trials(spark, sf)))
 
 
+QUERIES["significance"] = _significance
+
+
 @query
 def win_matrix(spark, sf):
     return significance.win_matrix(significance.significance(facts.trials(spark, sf)), facts.MODELS)
@@ -704,11 +706,23 @@ def token_set_overlap(spark, sf):
 
 
 @query
-def token_set_ratio(spark, sf):
+def token_set_pairs(spark, sf):
+    """Ratio of every turn with the next one."""
     scored = similarity.token_set_ratio(_turn_pairs(spark, sf), "a", "b")
     return scored.select("conv_id", "turn", round_to("ratio", 6).alias("ratio"))
 
 
+@query
+def subset_duplicates(spark, sf):
+    """Parts whose name says no more, or no less, than the name of the next part."""
+    questions = facts.part_questions(spark, sf).select("position", "question", T.token_set("question").alias("a"))
+    after = questions.select(
+        (F.col("position") - 1).alias("position"), F.col("question").alias("next_question"), F.col("a").alias("b")
+    )
+    quick = similarity.ratio_without_lcs(similarity.overlap_parts(F.col("a"), F.col("b")))
+    return questions.join(after, "position").filter(quick == 100).select("position", "question", "next_question")
+
+
 @query
 def token_set_copies(spark, sf):
     return similarity.token_set_copies(facts.part_questions(spark, sf), "question", "position")

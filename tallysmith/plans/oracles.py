@@ -242,7 +242,7 @@ sig AS (SELECT model_a, model_b, {rnd(ratio('correct_a', 'n_items'), 4)} AS acc_
   CAST(h < 0.05e0 AS INTEGER) AS "significant_0.05" FROM holm)"""
 
 ORACLES["mcnemar_counts"] = f"WITH {EV}, {PAIRS} SELECT * FROM pairs"
-ORACLES["significance_tests"] = f"WITH {EV}, {PAIRS}, {TESTS} SELECT * FROM sig"
+ORACLES["significance"] = f"WITH {EV}, {PAIRS}, {TESTS} SELECT * FROM sig"
 EXACT_BY_STANDARD = f"""v AS (SELECT standard, question_id,
     avg(binary_score) FILTER (model = 'model_0') >= 0.5 AS a, avg(binary_score) FILTER (model = 'model_1') >= 0.5 AS b
   FROM ev WHERE model IN ('model_0', 'model_1') GROUP BY 1, 2),
@@ -616,6 +616,10 @@ SELECT conv_id, turn, CAST(n AS INTEGER) AS n_common, CAST(sect AS INTEGER) AS s
   {rnd("""CASE WHEN len(a) = 0 OR len(b) = 0 OR n = 0 THEN 0e0 WHEN la = 0 OR lb = 0 THEN 100e0
     ELSE greatest(100e0 - 100e0 * (gap + la) / (2 * sect + gap + la), 100e0 - 100e0 * (gap + lb) / (2 * sect + gap + lb)) END""", 6)} AS quick_ratio
 FROM l"""
+_NAME_TOKENS = TOKENS.replace("text", "p_name")
+ORACLES["subset_duplicates"] = f"""WITH t AS (SELECT p_partkey AS position, p_name AS question, {_NAME_TOKENS} AS a FROM part)
+SELECT x.position, x.question, y.question AS next_question FROM t x JOIN t y ON y.position = x.position + 1
+WHERE len(list_intersect(x.a, y.a)) > 0 AND (list_has_all(x.a, y.a) OR list_has_all(y.a, x.a))"""
 ORACLES["token_set_copies"] = f"""WITH t AS (SELECT p_brand AS area, p_partkey,
   array_to_string(list_sort(list_distinct({NORMAL.replace('text', 'p_name')})), ' ') AS tokens FROM part)
 SELECT area, tokens, min(p_partkey) AS first_position, count(*) AS copies FROM t GROUP BY 1, 2 HAVING count(*) > 1"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import math
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -41,6 +42,16 @@ def markdown_table(df: DataFrame, *order) -> str:
     return _lines(df.columns, rows) if rows else NO_DATA
 
 
+def html_table(df: DataFrame, *order) -> str:
+    """A report as a bordered HTML table; missing values stay empty."""
+
+    def tag(name: str, values) -> str:
+        return "".join(f"<{name}>{html.escape(_cell(v), quote=False)}</{name}>" for v in values)
+
+    body = [tag("th", df.columns), *[tag("td", row) for row in collect_report(df, *order)]]
+    return '<table border="1">' + "".join(f"<tr>{row}</tr>" for row in body) + "</table>"
+
+
 class Document:
     """Collects sections and numbered tables and puts contents and a table list in front."""
 
@@ -87,6 +98,24 @@ def standards_document(areas: DataFrame, standards: DataFrame) -> str:
     return "\n".join(doc)
 
 
+def dataset_card(items: DataFrame, areas: DataFrame, generator: str, judges: Sequence[str], band: tuple[float, float], threshold: float) -> str:
+    """A short description of the question set: size, origin, checks and areas."""
+    by_type = items.groupBy("question_type").agg(F.count("*").alias("questions"))
+    doc = [
+        "# Dataset card\n",
+        f"{items.count()} questions in {areas.count()} areas, written by {generator}.\n",
+        "## Composition\n",
+        markdown_table(by_type, "question_type") + "\n",
+        "## Checks\n",
+        f"- reading grade between {band[0]} and {band[1]}",
+        f"- no question within its area with a token-set ratio of {threshold} or more to another one",
+        f"- every answer scored by {len(judges)} judges: {', '.join(judges)}\n",
+        "## Areas\n",
+    ]
+    rows = collect_report(areas, "ordinal")
+    return "\n".join(doc + [f"- **{r['area']}** {r['area_title']} ({r['n_standards']} standards)" for r in rows]) + "\n"
+
+
 def findings(
     trials: DataFrame, responses: DataFrame | None, areas: DataFrame, standards: DataFrame,
     reliability: DataFrame | None = None, band: tuple[float, float] = (5.0, 9.0),

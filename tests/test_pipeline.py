@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallysmith.operators import accuracy, agreement, ensemble, overrides, panel, quota
 from tallysmith.operators.asking import Reply, Transient, ask
 from tallysmith.plans import stages
-from tallysmith.plans.report import Document, markdown_table, standards_document
+from tallysmith.plans.report import Document, dataset_card, html_table, markdown_table, standards_document
 from tallysmith.sources import dimension, settings, tables
 from tallysmith.sources.settings import Settings, SettingsError
 
@@ -124,6 +124,11 @@ def test_second_run_asks_nothing(ws):
     assert done["generate"] == (12, 12, 1.0) and done["validate"] == (24, 24, 1.0)
 
 
+def test_dataset_card(ws):
+    card = dataset_card(ws.items().read(), ws.areas(), "fast", ["fast", "mini"], (5.0, 9.0), 88)
+    assert "12 questions in 2 areas" in card and "| recall | 4 |" in card and "**A1** Area 1 (2 standards)" in card
+
+
 def test_stage_names():
     assert stages.resolve("groundtruth") == ["generate", "quality", "validate"]
     assert stages.resolve("benchmark, evaluate") == ["benchmark", "evaluate"]
@@ -255,6 +260,7 @@ def test_markdown(spark):
     df = spark.createDataFrame([("a|b\nc", None), ("d", 1.5)], "x string, y double")
     assert markdown_table(df, "x") == "| x | y |\n| --- | --- |\n| a\\|b c |  |\n| d | 1.5 |"
     assert markdown_table(df.limit(0)) == "_(no data)_"
+    assert html_table(df, "x").endswith("<tr><td>d</td><td>1.5</td></tr></table>")
     doc = Document("T", "abstract")
     doc.section("One", "one")
     doc.table("| x |", "Cap")
