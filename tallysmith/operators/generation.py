@@ -16,7 +16,7 @@ from tallysmith.operators import quota
 from tallysmith.operators.common import checkpointed
 from tallysmith.operators.quota import SLOT
 from tallysmith.operators.similarity import (
-    DEFAULT_THRESHOLD, _candidates, _similar, blocking_keys, letter_counts, set_ratio,
+    DEFAULT_THRESHOLD, _candidates, _similar, blocking_keys, set_ratio, with_signature,
 )
 
 # A provider gets (requests, round) and returns candidates for the requested slots.
@@ -59,7 +59,7 @@ def accept_candidates(
     if existing is not None:
         old = existing.select("area", "position", token_set("question").alias("tokens")).filter(F.size("tokens") > 0)
         known = known.unionByName(old)
-    sets = checkpointed(known.withColumn("letters", letter_counts(F.col("tokens"))))
+    sets = checkpointed(with_signature(known))
     keys = checkpointed(blocking_keys(sets, threshold))
     live = live.drop("tokens")
     if existing is not None:

@@ -114,6 +114,33 @@ def letter_gap(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, n: acc + n)
 
 
+# Letter counts as bit patterns: eight bits per letter, as many set as the letter occurs, seven letters a word.
+SIGNATURE = ["s1", "s2", "s3", "s4"]
+
+
+def with_signature(sets: DataFrame) -> DataFrame:
+    """Add letter counts and their bit patterns to (area, position, tokens)."""
+
+    def word(first: int) -> Column:
+        one = F.lit(1).cast("bigint")
+        bits = F.lit(0).cast("bigint")
+        for slot in range(7):
+            if first + slot < 26:
+                count = F.least(F.get("letters", F.lit(first + slot)), F.lit(8))
+                code = F.call_function("shiftleft", one, count) - one
+                bits = bits.bitwiseOR(F.shiftleft(code, 8 * slot))
+        return bits
+
+    counted = sets.withColumn("letters", letter_counts(F.col("tokens")))
+    return counted.select("*", *[word(7 * i).alias(name) for i, name in enumerate(SIGNATURE)])
+
+
+def _surplus(a: str, b: str) -> Column:
+    """At most the number of letters side ``a`` has beyond those of side ``b``."""
+    words = [F.bit_count(F.col(f"{a}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{s}")))) for s in SIGNATURE]
+    return sum(words[1:], words[0])
+
+
 def token_set_ratio(
     pairs: DataFrame, a: str, b: str, name: str = "ratio", at_least: float | None = None, edits: Column | None = None
 ) -> DataFrame:
@@ -155,7 +182,7 @@ def _weight(token: Column) -> Column:
 def blocking_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """Keys such that two similar items of an area share one, with at least one of them leading on it.
 
-    ``sets``: area, position, tokens (non-empty, distinct per area). With d = 1 - threshold / 100:
+    ``sets``: area, position, tokens (non-empty, distinct per area) and signature. With d = 1 - threshold / 100:
 
     * One side nearly inside the other: the tokens of A missing in B weigh (length + 1 each) at most
       2d / (1 + d) of A. So among the rarest tokens of A that weigh more than this, one is in B. These
@@ -184,6 +211,7 @@ def blocking_keys(sets: DataFrame, threshold: float) -> DataFrame:
 
     pair_mode = 1 - 3 * d > 0.1
     step = 3 if pair_mode else 1
+    bits = sets.select("area", "position", *SIGNATURE)
     padded = F.concat(F.lit(" "), _joined(F.col("tokens")), F.lit(" "))
     cut = F.substring(F.col("padded"), F.col("i"), F.lit(2 if pair_mode else 1))
     grams = (
@@ -209,16 +237,27 @@ def blocking_keys(sets: DataFrame, threshold: float) -> DataFrame:
             F.lit(True).alias("similar_size"),
         )
     )
-    return token_keys.unionByName(gram_keys)
+    return token_keys.unionByName(gram_keys).join(bits, ["area", "position"])
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (earlier, later) pairs that share a key on which ``left`` or ``right`` leads."""
+    """Distinct (earlier, later) pairs that share a key on which ``left`` or ``right`` leads.
+
+    Pairs whose letters rule out the ratio are dropped inside the join, by a few bit operations: letter
+    pairs stand for a small edit distance, so the surplus letters of both sides are limited; a leading token
+    stands for a side that is nearly inside the other, so the surplus of that side is limited.
+    """
     d = 1.0 - threshold / 100.0
     a, b = left.alias("a"), right.alias("b")
     same = (F.col("a.area") == F.col("b.area")) & (F.col("a.key") == F.col("b.key"))
     low, high = F.least("a.weight", "b.weight") - 1, F.greatest("a.weight", "b.weight") - 1
-    near = ~F.col("a.similar_size") | (low >= high * ((1 - d) / (1 + d)) - 1e-6)
+    over_a, over_b = _surplus("a", "b"), _surplus("b", "a")
+    same_size = (low >= high * ((1 - d) / (1 + d)) - 1e-6) & (over_a + over_b <= (low + high) * d + 1e-6)
+
+    def inside(side: str, over: Column) -> Column:
+        return F.col(f"{side}.lead") & (over <= (F.col(f"{side}.weight") - 1) * (2 * d / (1 + d)) + 1e-6)
+
+    near = F.when(F.col("a.similar_size"), same_size).otherwise(inside("a", over_a) | inside("b", over_b))
     leads = F.col("a.lead") | F.col("b.lead")
     different = F.col("a.position") != F.col("b.position")
     return a.join(b, same & near & leads & different).select(
@@ -309,7 +348,7 @@ def _keep_greedily(sets: DataFrame, threshold: float, front_size: int) -> DataFr
 
 def greedy_dedupe(
     questions: DataFrame, text: str = "question", area: str | None = "area", position: str = "position",
-    threshold: float = DEFAULT_THRESHOLD, front_size: int = 1000,
+    threshold: float = DEFAULT_THRESHOLD, front_size: int = 256,
 ) -> DataFrame:
     """Add ``kept``: 1 unless an earlier kept question of the same area is similar.
 
@@ -325,7 +364,7 @@ def greedy_dedupe(
     first = (
         rows.filter(F.size("tokens") > 0).groupBy("area", "tokens").agg(F.min("position").alias("position"))
     )
-    sets = checkpointed(first.withColumn("letters", letter_counts(F.col("tokens"))))
+    sets = checkpointed(with_signature(first))
     kept = _keep_greedily(sets, threshold, front_size)
     kept = blank if kept is None else kept.unionByName(blank)
     marks = kept.select(F.col("position").alias(position), F.lit(1).alias("kept"))
