@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysmith.llm import decontam, lines, mixing, oracles, quality, simhash, spotsigs, toxicity
+from tallysmith.llm import decontam, langid, lines, mixing, oracles, quality, simhash, spotsigs, tokens, toxicity, warc
+from tallysmith.operators.common import checkpointed, scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +58,13 @@ def op4_decontamination(spark, sf):
     return decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op5_language(spark, sf):
+    """Language of every document by the fewest phrases against text of each language."""
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, langid.training_texts(docs))
+
+
 @query
 def op6_spot_signatures(spark, sf):
     """Fingerprint of every document, of its edited text, and likeness to that and to the next document."""
@@ -96,6 +105,28 @@ def op7_mixing(spark, sf):
     return mixed(spark, table(spark, sf, "documents"), sf)
 
 
+@query
+def op8_warc(spark, sf):
+    """Every page written to WARC archives and read back."""
+    path = f"{scratch_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    warc.write_archives(warc.planned(table(spark, sf, "pages")), path)
+    found = warc.reassembled(warc.read_records(spark, path))
+    return warc.resolve(checkpointed(warc.digests(found)))
+
+
+@query
+def op9_token_counts(spark, sf):
+    """Tokens of every document before and after three edits: a cut, an insertion and an addition at the end."""
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edits = F.array(
+        F.struct(third.alias("start"), F.lit(20).alias("length"), F.lit("").alias("replacement")),
+        F.struct((third * 2).alias("start"), F.lit(3).alias("length"), F.lit(" and then, again, ").alias("replacement")),
+        F.struct(n.alias("start"), F.lit(0).alias("length"), F.lit("\nThe end.").alias("replacement")),
+    )
+    return tokens.count_tokens(table(spark, sf, "documents"), edits)
+
+
 @query
 def op10_simhash(spark, sf):
     """SimHash fingerprint and component of every document."""

@@ -55,13 +55,11 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row; repeated rows and NULL keys stay as they are. No shuffle."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fps = np.fromiter((simhash(t, shingle) for t in frame["text"]), dtype=np.int64, count=len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps})
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((simhash(t, shingle) for t in texts), dtype=np.int64, count=len(texts)))
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(batches, "doc_id long, fp long")
+    return docs.select(F.col(key).alias("doc_id"), printed(F.col(text)).alias("fp"))
 
 
 # --- plan of the search -----------------------------------------------------------------------------------
