@@ -40,9 +40,15 @@ def to_number(value: Column | str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def to_whole(value: Column | str, kind: str = "int") -> Column:
+    """Integer, fraction cut off; NULL for junk and for what the type cannot hold. Long integers keep all digits."""
+    value = as_column(value)
+    return F.coalesce(value.try_cast(kind), to_number(value).try_cast(kind))
+
+
 def to_flag(value: Column | str) -> Column:
     """0/1 integer from any representation; junk counts as 0."""
-    return F.coalesce(to_number(value).cast("int"), F.lit(0))
+    return F.coalesce(to_whole(value), F.lit(0))
 
 
 def truthy(value: Column | str) -> Column:

@@ -64,8 +64,9 @@ def rubric_verdict(obj: Column, name: str, use_rubric: Column) -> Column:
     return F.when(use_rubric, F.coalesce(value, F.lit(0.0)))
 
 
-def rationale(obj: Column, name: str = "rationale", limit: int = 300) -> Column:
-    return F.substring(F.coalesce(_field(obj, name, "string"), F.lit("")), 1, limit)
+def rationale(obj: Column, name: str = "rationale") -> Column:
+    """The reason given, whole."""
+    return F.coalesce(_field(obj, name, "string"), F.lit(""))
 
 
 def default_true(obj: Column, name: str) -> Column:

@@ -14,6 +14,7 @@ Z95 = 1.959963984540054
 
 # McNemar uses the exact binomial below this many discordant pairs.
 EXACT_LIMIT = 25
+EXACT_MOST = 1000
 
 
 def wilson_bounds(correct: Column | str, total: Column | str) -> tuple[Column, Column]:
@@ -49,17 +50,22 @@ def erfc(value: Column) -> Column:
 
 
 def mcnemar_exact(b: Column | str, c: Column | str) -> Column:
-    """Two-sided exact binomial p-value from the two discordant counts (meant for small counts)."""
+    """Two-sided exact binomial p-value from the two discordant counts; NULL above ``EXACT_MOST`` of them,
+    where a double no longer holds the first term."""
     b, c = as_column(b).cast("double"), as_column(c).cast("double")
     n, k = b + c, F.least(b, c)
-    start = F.struct(F.lit(1.0).alias("comb"), F.lit(1.0).alias("total"))
+    first = F.pow(F.lit(2.0), -n)
+    start = F.struct(first.alias("term"), first.alias("total"))
 
     def add(acc: Column, i: Column) -> Column:
-        comb = F.when(i <= k, acc["comb"] * (n - i + 1) / i).otherwise(F.lit(0.0))
-        return F.struct(comb.alias("comb"), (acc["total"] + comb).alias("total"))
+        term = acc["term"] * (n - i + 1) / i
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    tail = F.aggregate(F.sequence(F.lit(1), F.lit(EXACT_LIMIT)), start, add, lambda acc: acc["total"])
-    return F.least(F.lit(1.0), F.lit(2.0) * tail / F.pow(F.lit(2.0), n))
+    steps = F.when(k >= 1, F.sequence(F.lit(1), F.least(k, F.lit(EXACT_MOST)).cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+    tail = F.aggregate(steps, start, add, lambda acc: acc["total"])
+    return F.when(n <= EXACT_MOST, F.least(F.lit(1.0), F.lit(2.0) * tail))
 
 
 def mcnemar_asymptotic(b: Column | str, c: Column | str) -> Column:

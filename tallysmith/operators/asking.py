@@ -56,22 +56,35 @@ def _attempt(client: Client, call: tuple, attempts: int, backoff: float, longest
     return ("", "", 0, 0, 0, 0, False, f"{type(failure).__name__}: {failure}")
 
 
+#: Calls that are worth a task of their own.
+CALLS_PER_TASK = 32
+
+
+def shares(rows: int, parallel: int, cores: int) -> tuple[int, int]:
+    """Spark tasks and calls in flight per task for so many calls; together at most ``parallel`` in flight."""
+    tasks = max(1, min(parallel, cores, -(-rows // CALLS_PER_TASK)))
+    return tasks, max(1, parallel // tasks)
+
+
 def ask(
     tasks: DataFrame, client: Client, parallel: int = 8, attempts: int = 5, backoff: float = 2.0, longest: float = 60.0,
-    partitions: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the reply fields to tasks with columns model, system, prompt and temperature.
 
-    Every task of the job keeps ``parallel`` calls in flight for its Arrow batch, so calls at one time are
-    executors' cores x parallel; ``partitions`` limits or spreads them. Keys of the tasks identify the rows.
+    At most ``parallel`` calls are in flight at a time over the whole job: the rows are dealt out to as many
+    Spark tasks as ``shares`` says, and each keeps its share of calls going. ``rows`` saves counting them.
+    Keys of the tasks identify the rows.
     """
+    cores = tasks.sparkSession.sparkContext.defaultParallelism
+    dealt, each = shares(tasks.count() if rows is None else rows, parallel, cores)
     schema = StructType([*tasks.schema.fields, *REPLY_FIELDS])
     names = [f.name for f in REPLY_FIELDS]
     if set(names) & set(tasks.columns):
         raise ValueError(f"task columns must not be named like reply fields: {sorted(set(names) & set(tasks.columns))}")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(parallel) as pool:
+        with ThreadPoolExecutor(each) as pool:
             for batch in batches:
                 calls = [
                     (m, s or "", p, None if pd.isna(t) else float(t))
@@ -80,5 +93,4 @@ def ask(
                 rows = list(pool.map(lambda c: _attempt(client, c, attempts, backoff, longest), calls))
                 yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    spread = tasks.repartition(partitions) if partitions else tasks
-    return spread.mapInPandas(answer, schema)
+    return tasks.repartition(dealt).mapInPandas(answer, schema)

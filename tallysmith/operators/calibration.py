@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import round_mean, round_to, share, to_number
+from tallysmith.functions.numbers import round_mean, round_to, share, to_whole
 from tallysmith.functions.stats import cohen_kappa
 from tallysmith.operators.common import keyed
 
@@ -59,8 +59,8 @@ def judge_vs_human(sheet: DataFrame, judges: Sequence[str], prefix: str = "llm_"
     columns = [prefix + j for j in judges]
     named = sheet.select(
         "source",
-        to_number("human_score").cast("int").alias("human"),
-        *[to_number(c).cast("int").alias(c[len(prefix):]) for c in columns],
+        to_whole("human_score").alias("human"),
+        *[to_whole(c).alias(c[len(prefix):]) for c in columns],
     )
     pairs = named.unpivot(["source", "human"], list(judges), "judge", "llm").filter(
         "human IS NOT NULL AND llm IS NOT NULL"

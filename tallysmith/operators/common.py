@@ -11,13 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def require_columns(df: DataFrame, *names: str) -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; found {df.columns}")
-    return df
-
-
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose grouping keys are all present; missing keys take part in no report."""
     return df.dropna(how="any", subset=list(keys)) if keys else df
@@ -67,6 +60,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot: int = 1 << 20, width: int = 1 << 20
+) -> DataFrame:
+    """1, 2, ... per key in the given order; every row is numbered.
+
+    A key with more than ``hot`` rows is cut into ranges of the first order column (an integer), which are
+    numbered on their own and shifted by the rows of the earlier ranges.  Other keys, usually all, are one
+    range.  The counts are combined before their shuffle; rows are shuffled once, by key.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot)
+    marked = df.join(counted, [*keys], "left")
+    cut = F.when(F.col("_rows").isNotNull(), F.floor(F.col(order[0]) / F.lit(width))).otherwise(F.lit(0))
+    ranged = marked.withColumn("_piece", cut)
+    sizes = ranged.filter("_rows IS NOT NULL").groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_piece", F.sum("_size").over(before).alias("_start")).filter("_start > 0")
+    local = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    numbered = ranged.withColumn("_local", F.row_number().over(local)).join(starts, [*keys, "_piece"], "left")
+    number = (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("int")
+    return numbered.withColumn(name, number).drop("_rows", "_piece", "_local", "_start")
+
+
 def number_within(
     df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1 << 20, starts: DataFrame | None = None
 ) -> DataFrame:

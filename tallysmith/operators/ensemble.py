@@ -19,16 +19,30 @@ def majority(score: str = "binary_score") -> Column:
     return (F.avg(score) >= 0.5).cast("int")
 
 
-def first_run_and_ensemble(trials: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Accuracy on run 1 and accuracy of the majority vote over runs, per (model, *group)."""
-    keys = ["model", *group]
+VOTE_KEYS = ["model", "area", "standard", "question_type", "question_id"]
+
+
+def votes(trials: DataFrame, keys: Sequence[str] = VOTE_KEYS) -> DataFrame:
+    """One row per model and question: right answers and answers on run 1, and the majority vote.
+
+    Rankings, best picks and significance all start from this table; several of them can share it.
+    """
     first = F.col("run") == 1
-    per_item = keyed(trials, [*keys, "question_id"]).groupBy(*keys, "question_id").agg(
+    return keyed(trials, ["model", "question_id"]).groupBy(*keys).agg(
         F.sum(F.when(first, F.col("binary_score"))).alias("first_sum"),
         F.count(F.when(first, F.col("binary_score"))).alias("first_n"),
         majority().alias("vote"),
     )
-    return per_item.groupBy(*keys).agg(
+
+
+def first_run_and_ensemble(trials: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Accuracy on run 1 and accuracy of the majority vote over runs, per (model, *group).
+
+    ``trials`` may be the table of ``votes``.
+    """
+    keys = ["model", *group]
+    per_item = trials if "vote" in trials.columns else votes(trials, [*keys, "question_id"])
+    return keyed(per_item, keys).groupBy(*keys).agg(
         round_to(share(F.sum("first_sum"), F.sum("first_n")), 3).alias("first_run_accuracy"),
         round_to(share(F.sum("vote"), F.count("*")), 3).alias("ensemble_accuracy"),
         F.count("*").alias("n_questions"),

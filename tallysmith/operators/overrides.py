@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysmith.functions.numbers import round_to, to_number, truthy
+from tallysmith.functions.numbers import round_to, to_number, to_whole, truthy
 from tallysmith.functions.text import fk_grade
 from tallysmith.operators.common import first_per_key
 
@@ -17,7 +17,7 @@ def apply_overrides(trials: DataFrame, labels: DataFrame, rejected: DataFrame) -
     ``rejected``: question_id, human_score of the reference answer; 0 removes the question.
     """
     filled = (
-        labels.withColumn("human", to_number("human_score").cast("int"))
+        labels.withColumn("human", to_whole("human_score"))
         .filter("human IS NOT NULL")
         .select("model", "question_id", "run", "human", "position")
     )

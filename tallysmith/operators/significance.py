@@ -16,37 +16,39 @@ from tallysmith.operators.ensemble import majority
 SIGNIFICANT = "significant_0.05"
 
 
-def vote_patterns(trials: DataFrame) -> DataFrame:
-    """How many complete questions show each combination of model verdicts.
+def vote_patterns(trials: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """How many complete questions (of each group) show each combination of model verdicts.
 
     A question is complete when every model answered it. Questions with the same combination are
     counted before any pair is formed, so pairs are made per combination and not per question.
     """
-    votes = keyed(trials, ["model", "question_id"]).groupBy("model", "question_id").agg(majority().alias("vote"))
-    rows = votes.groupBy("question_id").agg(
+    single = [*group, "model", "question_id"]
+    collapsed = "vote" in trials.columns  # the table of ``ensemble.votes``
+    votes = trials if collapsed else keyed(trials, single[-2:]).groupBy(*single).agg(majority().alias("vote"))
+    rows = votes.groupBy(*group, "question_id").agg(
         F.array_sort(F.collect_list(F.struct("model", "vote"))).alias("pattern")
     )
-    patterns = rows.groupBy("pattern").agg(F.count("*").alias("items"))
+    patterns = rows.groupBy(*group, "pattern").agg(F.count("*").alias("items"))
     # Counted over the same pattern table, whose shuffle Spark reuses here.
     names = patterns.filter("items > 0").select(F.explode("pattern.model").alias("model"))
     n_models = names.agg(F.count_distinct("model")).scalar()
     return patterns.filter(F.size("pattern") == n_models)
 
 
-def mcnemar_counts(trials: DataFrame) -> DataFrame:
-    """Per model pair (a before b): right/wrong counts over complete questions."""
+def mcnemar_counts(trials: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Per model pair (a before b), in each group: right/wrong counts over complete questions."""
     later = F.filter(F.col("pattern"), lambda o: o["model"] > F.col("a.model"))
     pairs = (
-        vote_patterns(trials)
-        .select("pattern", "items", F.explode("pattern").alias("a"))
-        .select("items", "a", F.explode(later).alias("b"))
+        vote_patterns(trials, group)
+        .select(*group, "pattern", "items", F.explode("pattern").alias("a"))
+        .select(*group, "items", "a", F.explode(later).alias("b"))
     )
 
     def items_where(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("items")).otherwise(0))
 
     a, b = F.col("a.vote") == 1, F.col("b.vote") == 1
-    return pairs.groupBy(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b")).agg(
+    return pairs.groupBy(*group, F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b")).agg(
         F.sum("items").alias("n_items"),
         items_where(a).alias("correct_a"),
         items_where(b).alias("correct_b"),
@@ -58,7 +60,7 @@ def mcnemar_counts(trials: DataFrame) -> DataFrame:
 def holm_adjust(tests: DataFrame, p: str, ties: Sequence[str], name: str = "p_holm") -> DataFrame:
     """Step-down Holm adjustment over all tests with a p-value; missing p-values stay missing.
 
-    The window runs over one row per test (model pairs), a table that never grows with the data.
+    The window runs over one row per test: model pairs, or those of every group.
     """
     order = [F.asc_nulls_last(p), *[F.col(c) for c in ties]]
     rank = F.row_number().over(Window.orderBy(*order))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallysmith.functions import replies as R
 from tallysmith.functions import text as T
 from tallysmith.functions.numbers import round_to, truthy
+from tallysmith.functions.stats import mcnemar
 from tallysmith.operators import (
     accuracy, agreement, calibration, coverage, ensemble, generation, items, overrides, panel, quota,
     significance, similarity, usage,
@@ -122,13 +123,13 @@ def standard_detail(spark, sf):
 @query
 def type_area_detail(spark, sf):
     scores = ensemble.first_run_and_ensemble(facts.trials(spark, sf), ["question_type", "area"])
-    return ensemble.single_ensemble_pivot(scores, "area", facts.BRANDS, ["question_type"])
+    return ensemble.single_ensemble_pivot(scores, "area", facts.area_names(spark, sf), ["question_type"])
 
 
 @query
 def ensemble_area_matrix(spark, sf):
     scores = ensemble.first_run_and_ensemble(facts.trials(spark, sf), ["area"])
-    return ensemble.ensemble_matrix(scores, "area", facts.BRANDS)
+    return ensemble.ensemble_matrix(scores, "area", facts.area_names(spark, sf))
 
 
 @query
@@ -171,27 +172,17 @@ def mcnemar_counts(spark, sf):
 
 @query
 def mcnemar_exact(spark, sf):
-    """Exact test per (standard): first model against second, where few pairs differ."""
-    from tallysmith.functions.stats import mcnemar_exact as exact
-
-    votes = facts.trials(spark, sf).filter(F.col("model").isin("model_0", "model_1"))
-    votes = votes.groupBy("standard", "question_id").agg(
-        (F.avg(F.when(F.col("model") == "model_0", F.col("binary_score"))) >= 0.5).alias("a"),
-        (F.avg(F.when(F.col("model") == "model_1", F.col("binary_score"))) >= 0.5).alias("b"),
-    )
-    counts = votes.groupBy("standard").agg(
-        F.count_if(F.col("a") & ~F.col("b")).alias("discordant_b"),
-        F.count_if(~F.col("a") & F.col("b")).alias("discordant_c"),
-    )
-    small = counts.filter("discordant_b + discordant_c < 25")
-    return small.withColumn("p_value", round_to(exact("discordant_b", "discordant_c"), 9))
+    """Test of every model pair within every standard, exact where few questions differ."""
+    counts = significance.mcnemar_counts(facts.trials(spark, sf), ["standard"])
+    p = round_to(mcnemar("discordant_b", "discordant_c"), 9).alias("p_value")
+    return counts.select("standard", "model_a", "model_b", "discordant_b", "discordant_c", p)
 
 
 @query
 def holm_adjust(spark, sf):
-    """Holm over the per-standard exact tests."""
+    """Holm over all tests within standards."""
     tests = mcnemar_exact(spark, sf)
-    return _rounded_tests(significance.holm_adjust(tests, "p_value", ["standard"]))
+    return _rounded_tests(significance.holm_adjust(tests, "p_value", ["standard", "model_a", "model_b"]))
 
 
 def _significance(spark, sf):
@@ -457,7 +448,7 @@ def gt_edit_apply_validated(spark, sf):
 
 def _quality(spark, sf) -> DataFrame:
     return coverage.dataset_quality(
-        facts.customer_items(spark, sf), facts.customer_standards(spark, sf), *ITEM_BAND, facts.SEGMENTS
+        facts.customer_items(spark, sf), facts.customer_standards(spark, sf), *ITEM_BAND, facts.segments(spark, sf)
     )
 
 
@@ -483,12 +474,12 @@ def cell_counts(spark, sf):
 
 @query
 def coverage_rollup(spark, sf):
-    return coverage.coverage_rollup(facts.customer_items(spark, sf), facts.customer_standards(spark, sf), facts.SEGMENTS)
+    return coverage.coverage_rollup(facts.customer_items(spark, sf), facts.customer_standards(spark, sf), facts.segments(spark, sf))
 
 
 @query
 def composition_total(spark, sf):
-    return coverage.composition(facts.customer_items(spark, sf), facts.customer_areas(spark, sf), facts.SEGMENTS)
+    return coverage.composition(facts.customer_items(spark, sf), facts.customer_areas(spark, sf), facts.segments(spark, sf))
 
 
 @query
@@ -503,7 +494,7 @@ def review_coverage(spark, sf):
 
 @query
 def review_coverage_pivot(spark, sf):
-    return coverage.selection_pivot(review_round_robin(spark, sf), facts.SEGMENTS)
+    return coverage.selection_pivot(review_round_robin(spark, sf), facts.segments(spark, sf))
 
 
 def _rejects(spark, sf) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from tallysmith.functions.stats import Z95
 from tallysmith.functions.text import REFUSAL_PATTERN, SILENT_E_PATTERN, STOP_WORDS, VOWELS, WORD_PATTERN
 from tallysmith.plans.catalog import ITEM_BAND, REVIEW_TARGETS, TYPE_SPLIT
-from tallysmith.sources.facts import BRANDS, EVAL_JUDGES, MODELS, PANEL_JUDGES, SEGMENTS
+from tallysmith.sources.facts import EVAL_JUDGES, MODELS, PANEL_JUDGES
 
 ORACLES: dict[str, str] = {}
 
 TYPES = ("recall", "conceptual", "applied")
+# Values of the test tables' dimensions; SQL needs the columns of a pivot spelled out.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -39,8 +42,7 @@ ANSWERS = """answers AS (
       PARTITION BY l_suppkey % 5, l_partkey
       ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_shipdate) AS INTEGER) AS run
     FROM lineitem) r
-  JOIN part ON l_partkey = p_partkey
-  WHERE run <= 3)"""
+  JOIN part ON l_partkey = p_partkey)"""
 
 EV = ANSWERS + """, ev AS (
   SELECT model, question_id, run, area, standard, question_type, l_partkey AS pk, mid,
@@ -243,16 +245,19 @@ sig AS (SELECT model_a, model_b, {rnd(ratio('correct_a', 'n_items'), 4)} AS acc_
 
 ORACLES["mcnemar_counts"] = f"WITH {EV}, {PAIRS} SELECT * FROM pairs"
 ORACLES["significance"] = f"WITH {EV}, {PAIRS}, {TESTS} SELECT * FROM sig"
-EXACT_BY_STANDARD = f"""v AS (SELECT standard, question_id,
-    avg(binary_score) FILTER (model = 'model_0') >= 0.5 AS a, avg(binary_score) FILTER (model = 'model_1') >= 0.5 AS b
-  FROM ev WHERE model IN ('model_0', 'model_1') GROUP BY 1, 2),
-c AS (SELECT standard, count(*) FILTER (a AND NOT b) AS discordant_b, count(*) FILTER (NOT a AND b) AS discordant_c
-  FROM v GROUP BY 1),
-e AS (SELECT *, {rnd(EXACT_P, 9)} AS p_value FROM c WHERE discordant_b + discordant_c < 25)"""
+EXACT_BY_STANDARD = f"""votes AS (
+  SELECT standard, model, question_id, CASE WHEN avg(binary_score) >= 0.5 THEN 1 ELSE 0 END AS v FROM ev GROUP BY ALL),
+complete AS (SELECT question_id FROM votes GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT model) FROM ev)),
+c AS (SELECT a.standard, a.model AS model_a, b.model AS model_b,
+    count(*) FILTER (a.v = 1 AND b.v = 0) AS discordant_b, count(*) FILTER (a.v = 0 AND b.v = 1) AS discordant_c
+  FROM votes a JOIN votes b ON a.question_id = b.question_id AND a.standard = b.standard AND a.model < b.model
+  WHERE a.question_id IN (SELECT question_id FROM complete) GROUP BY ALL),
+e AS (SELECT *, {rnd(f"CASE WHEN discordant_b + discordant_c < 25 THEN {EXACT_P} ELSE {ASYMPTOTIC_P} END", 9)} AS p_value
+  FROM c)"""
 ORACLES["mcnemar_exact"] = f"WITH {EV}, {EXACT_BY_STANDARD} SELECT * FROM e"
 ORACLES["holm_adjust"] = f"""WITH {EV}, {EXACT_BY_STANDARD} SELECT * EXCLUDE (f), {rnd(
-    'least(1e0, max(p_value * f) OVER (ORDER BY p_value, standard ROWS UNBOUNDED PRECEDING))', 9)} AS p_holm
-FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p_value, standard) + 1 AS f FROM e)"""
+    'least(1e0, max(p_value * f) OVER (ORDER BY p_value, standard, model_a, model_b ROWS UNBOUNDED PRECEDING))', 9)} AS p_holm
+FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p_value, standard, model_a, model_b) + 1 AS f FROM e)"""
 
 WINS = """wins AS (SELECT CASE WHEN a_better_b = 1 THEN model_a ELSE model_b END AS w,
   CASE WHEN a_better_b = 1 THEN model_b ELSE model_a END AS l FROM sig WHERE "significant_0.05" = 1),

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysmith.operators.common import spread
+from tallysmith.operators.common import number_rows, spread
 from tallysmith.operators.panel import judge_tasks
 
 MODELS = [f"model_{i}" for i in range(5)]
 PANEL_JUDGES = ["a", "b", "c"]
 EVAL_JUDGES = ["j0", "j1", "j2"]
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-
-RUNS = 3
 
 TRIAL_COLUMNS = [
     "model", "question_id", "run", "area", "standard", "question_type", "binary_score", "rubric_score", "is_refusal",
@@ -31,18 +27,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as answers: the first three per (model, part) are the runs of a question.
-
-    The rank filter also acts below the shuffle, so a part with very many lines sends three per task.
-    """
+    """Line items as answers: those of one (model, part) are the runs of a question, all of them."""
     order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate"]
-    runs = Window.partitionBy("l_partkey", "mid").orderBy(*order)
-    lines = (
-        table(spark, folder, "lineitem")
-        .withColumn("mid", F.col("l_suppkey") % 5)
-        .withColumn("run", F.row_number().over(runs))
-        .filter(F.col("run") <= RUNS)
-    )
+    lines = table(spark, folder, "lineitem").withColumn("mid", F.col("l_suppkey") % 5)
+    lines = number_rows(lines, ["l_partkey", "mid"], order, "run")
     kind = F.col("p_size") % 3
     part = table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -115,6 +103,16 @@ def areas(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
+def area_names(spark: SparkSession, folder: str) -> list[str]:
+    """Areas in their order; pivots take their columns from here."""
+    return [r["area"] for r in areas(spark, folder).orderBy("ordinal", "area").collect()]
+
+
+def segments(spark: SparkSession, folder: str) -> list[str]:
+    names = table(spark, folder, "customer").select("c_mktsegment").dropna().distinct()
+    return sorted(r["c_mktsegment"] for r in names.collect())
+
+
 def standards(spark: SparkSession, folder: str) -> DataFrame:
     """Standard dimension of the trials."""
     number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")

@@ -24,15 +24,6 @@ EVAL = _table(
     question_id=S, run=I, area=S, standard=S, question_type=S, response=S, binary_score=I, rubric_score=D,
     is_refusal=I, human_review_flag=I, rationale=S,
 )
-REJECTS = _table(area=S, standard=S, question_type=S, question=S, reason=S, round=I)
-EVAL_FLAGS = _table(question_id=S, run=I, human_score=S, human_notes=S)
+EVAL_FLAGS = _table(model=S, question_id=S, run=I, human_score=S, human_notes=S)
 ITEM_FLAGS = _table(question_id=S, human_score=S, human_notes=S)
-
-
-def panel_schema(base: StructType, judges: list[str]) -> StructType:
-    """A wide table with a verdict and a rationale column per judge."""
-    fields = list(base.fields)
-    fields += [StructField(f"judge_{j}", I, True) for j in judges]
-    fields += [StructField(f"rationale_{j}", S, True) for j in judges]
-    fields += [StructField("majority_label", I, True), StructField("human_review_flag", I, True)]
-    return StructType(fields)
+ITEM_EDITS = _table(question_id=S, question=S, reference_answer=S, keep=S, drop=S)

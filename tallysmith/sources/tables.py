@@ -8,9 +8,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, NumericType, StringType, StructType
+from pyspark.sql.types import IntegerType, LongType, NumericType, StructType
 
-from tallysmith.functions.numbers import to_number
+from tallysmith.functions.numbers import to_number, to_whole
 
 
 def _path(spark: SparkSession, path: str):
@@ -32,7 +32,7 @@ def _typed(raw: DataFrame, schema: StructType, extra: Sequence[Column] = ()) ->
         if field.name not in raw.columns:
             value = F.lit(None).cast(field.dataType)
         elif isinstance(field.dataType, (IntegerType, LongType)):
-            value = to_number(F.col(f"`{field.name}`")).cast(field.dataType)
+            value = to_whole(F.col(f"`{field.name}`"), field.dataType.simpleString())
         elif isinstance(field.dataType, NumericType):
             value = to_number(F.col(f"`{field.name}`"))
         else:
@@ -104,21 +104,17 @@ def write_table(df: DataFrame, path: str, partitions: Sequence[str] = ("model",)
 
 
 def backup(spark: SparkSession, path: str) -> str | None:
-    """Move an existing table into ``_backups`` beside it, with a time stamp; nothing is deleted."""
+    """Move an existing table into ``kept`` beside it, under the time of the move; nothing is deleted."""
     target, fs = _path(spark, path)
     if not fs.exists(target):
         return None
-    stamp = datetime.now(timezone.utc).strftime("%Y%m%d-%H%M%S-%f")
-    folder, _ = _path(spark, f"{target.getParent().toString()}/_backups")
+    moment = datetime.now(timezone.utc).isoformat(timespec="microseconds").replace(":", "")
+    folder, _ = _path(spark, f"{target.getParent().toString()}/kept/{target.getName()}")
     fs.mkdirs(folder)
-    moved = f"{folder.toString()}/{stamp}_{target.getName()}"
+    moved = f"{folder.toString()}/{moment[:-5]}"
     fs.rename(target, _path(spark, moved)[0])
     return moved
 
 
 def model_subset(df: DataFrame, models: Sequence[str] | None) -> DataFrame:
     return df.filter(F.col("model").isin(*models)) if models else df
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]

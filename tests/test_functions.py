@@ -108,12 +108,29 @@ def test_replies(spark, reply, score, is_object):
     assert one(spark, R.binary_verdict(obj, "score"), obj.isNotNull()) == (score, is_object)
 
 
+def test_whole_numbers(spark):
+    values = ["3000000000", "inf", "1e400", "nan", "x", None, "7", "7.9", " 12 "]
+    got = [one(spark, N.to_whole(F.lit(v).cast("string"))) for v in values]
+    assert got == [None, None, None, None, None, None, 7, 7, 12]
+    assert one(spark, N.to_whole(F.lit("9007199254740993"), "bigint")) == 9007199254740993
+
+
+def test_exact_test_at_any_size(spark):
+    def exact(b, c):
+        n, k = b + c, min(b, c)
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+
+    for b, c in ((0, 0), (0, 5), (7, 2), (12, 12), (40, 41), (300, 310), (480, 520)):
+        assert one(spark, S.mcnemar_exact(F.lit(b), F.lit(c))) == pytest.approx(exact(b, c), rel=1e-9)
+    assert one(spark, S.mcnemar_exact(F.lit(600), F.lit(600))) is None
+
+
 def test_reply_fields(spark):
     obj = R.parse_reply(F.lit('{"r": 0.5, "s": "1", "bad": 7, "rationale": "' + "x" * 400 + '", "no": false}'))
     yes, no = F.lit(True), F.lit(False)
     assert one(spark, R.rubric_verdict(obj, "r", yes), R.rubric_verdict(obj, "s", yes), R.rubric_verdict(obj, "bad", yes),
                R.rubric_verdict(obj, "r", no), R.rubric_verdict(obj, "gone", yes)) == (0.5, 1.0, 0.0, None, 0.0)
-    assert one(spark, F.length(R.rationale(obj)), R.default_true(obj, "no"), R.default_true(obj, "gone")) == (300, False, True)
+    assert one(spark, F.length(R.rationale(obj)), R.default_true(obj, "no"), R.default_true(obj, "gone")) == (400, False, True)
     items = R.question_items(R.parse_reply(F.lit('{"items": [{"question": " q ", "answer": "a"}, {"question": "", "answer": "b"}, 3]}')))
     assert [tuple(i) for i in one(spark, items)] == [("q", "a")]
     assert one(spark, *[R.total_tokens(F.lit(t).cast("long"), F.lit(3), F.lit(4)) for t in (0, None, 9)]) == (7, 7, 9)

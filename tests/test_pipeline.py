@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallysmith.operators import accuracy, agreement, ensemble, overrides, panel, quota
-from tallysmith.operators.asking import Reply, Transient, ask
+from tallysmith.operators.asking import Reply, Transient, ask, shares
 from tallysmith.plans import stages
-from tallysmith.plans.report import Document, dataset_card, html_table, markdown_table, standards_document
+from tallysmith.plans.report import Author, Grid, Heading, Link, Words, html_table, markdown_table, render, standards_blocks
 from tallysmith.sources import dimension, settings, tables
 from tallysmith.sources.settings import Settings, SettingsError
 
@@ -108,7 +108,10 @@ def test_reports(ws):
     assert float(tokens["mini"].reasoning_mean) > 0 and float(tokens["fast"].reasoning_mean) == 0
     assert {r.panel for r in report(ws, "judge_reliability").collect()} == {"ground_truth", "eval:fast", "eval:mini"}
     text = "\n".join(r.value for r in ws.spark.read.text(ws.path("reports/findings")).collect())
-    for part in ("## Contents", "## List of Tables", "Overall leaderboard", "Appendix A", 'id="std-A0-1"'):
+    for part in ("# What the models can do", "* [Ranking](#ranking)", "All models", "| A0-1 |", "## Tables", "Agreement of the judges"):
+        assert part in text
+    text = "\n".join(r.value for r in ws.spark.read.text(ws.path("reports/provenance")).collect())
+    for part in ("fast wrote 12 questions", "Questions by area", "Dropped questions by reason", "ground_truth"):
         assert part in text
 
 
@@ -124,16 +127,89 @@ def test_second_run_asks_nothing(ws):
     assert done["generate"] == (12, 12, 1.0) and done["validate"] == (24, 24, 1.0)
 
 
-def test_dataset_card(ws):
-    card = dataset_card(ws.items().read(), ws.areas(), "fast", ["fast", "mini"], (5.0, 9.0), 88)
-    assert "12 questions in 2 areas" in card and "| recall | 4 |" in card and "**A1** Area 1 (2 standards)" in card
+def test_failed_calls_keep_what_was_stored(ws, tmp_path):
+    """Answers are stored in slices; the next run asks for the rest only."""
+    asked = ws.spark.sparkContext.accumulator(0)
+
+    def failing(model, system, prompt, temperature):
+        if "photon" in prompt:
+            raise SystemExit("lost")
+        return Reply("fine")
+
+    small = Settings({**SETTINGS, "concurrency": {"flush_rows": 4, "max_parallel_requests": 2}})
+    space = stages.Workspace(ws.spark, str(tmp_path), small, ws.tree, failing)
+    questions = ws.items().read()
+    questions.write.parquet(space.path("ground_truth"))
+    photons = questions.filter("question LIKE '%photon%'").count()
+    if photons:
+        with pytest.raises(Exception):
+            stages.run(space, "benchmark")
+
+    def counting(model, system, prompt, temperature):
+        asked.add(1)
+        return Reply("fine")
+
+    before = space.read("responses").count() if tables.exists(ws.spark, space.path("responses")) else 0
+    space.client = counting
+    stages.run(space, "benchmark")
+    total = questions.count() * 2 * 2
+    assert space.read("responses").count() == total and asked.value == total - before
+
+
+def test_calls_are_shared_out():
+    assert shares(10_000, 8, 4) == (4, 2) and shares(10_000, 8, 100) == (8, 1) and shares(3, 8, 100) == (1, 8)
+    assert all(t * e <= 8 for t, e in (shares(n, 8, c) for n in (0, 1, 33, 500, 10**6) for c in (1, 3, 7, 64)))
+
+
+def test_many_calls_use_several_tasks(spark):
+    def client(model, system, prompt, temperature):
+        import os
+
+        return Reply(str(os.getpid()))
+
+    tasks = spark.range(2_000).select(
+        F.lit("m").alias("model"), F.lit("").alias("system"), F.col("id").cast("string").alias("prompt"),
+        F.lit(None).cast("double").alias("temperature"),
+    )
+    answered = ask(tasks, client, parallel=4)
+    assert answered.rdd.getNumPartitions() == 4 and answered.select("text").distinct().count() > 1
+
+
+def test_labels_come_back(ws, tmp_path):
+    """Sheets that people filled in change scores and questions."""
+    import shutil
+
+    folder = tmp_path / "copy"
+    shutil.copytree(ws.folder, folder)
+    space = stages.Workspace(ws.spark, str(folder), ws.settings, ws.tree, ws.client)
+    (folder / "labels").mkdir()
+    before = {(r.model, r.question_id, r.run): r.binary_score for r in stages.trials(space).collect()}
+    (model, question, run), score = next(iter(sorted(before.items())))
+    gone = max(q for _, q, _ in before)
+    (folder / "labels" / "flags_eval.csv").write_text(
+        f"model,question_id,run,human_score,human_notes\n{model},{question},{run},{score},\n{model},{question},{run},{1 - score},no\n"
+    )
+    (folder / "labels" / "flags_groundtruth.csv").write_text(f"question_id,human_score,human_notes\n{gone},0,bad\n")
+    after = {(r.model, r.question_id, r.run): r.binary_score for r in stages.trials(space).collect()}
+    assert after == {k: 1 - score if k == (model, question, run) else v for k, v in before.items() if k[1] != gone}
+    (folder / "labels" / "edits.csv").write_text(
+        f"question_id,question,reference_answer,keep,drop\n{question},New words?,It moves.,1,\n{gone},x,y,,1\n"
+    )
+    stages.run(space, "review")
+    raw = {r.question_id: r.question for r in space.read("ground_truth").collect()}
+    kept = {r.question_id for r in space.read("ground_truth_validated").collect()}
+    assert raw[question] == "New words?" and gone in raw and gone not in kept and question in kept
 
 
 def test_stage_names():
-    assert stages.resolve("groundtruth") == ["generate", "quality", "validate"]
-    assert stages.resolve("benchmark, evaluate") == ["benchmark", "evaluate"]
+    def names(request):
+        return [s.work.__name__ for s in stages.plan(request)]
+
+    assert names("groundtruth") == ["generate", "quality", "validate"]
+    assert names("benchmark, evaluate") == ["benchmark", "evaluate"]
+    assert names("all") == ["generate", "quality", "validate", "benchmark", "evaluate", "calibrate", "analyze"]
     with pytest.raises(ValueError):
-        stages.resolve("nothing")
+        stages.plan("nothing")
 
 
 def test_ask_turns_failures_into_rows(spark):
@@ -228,7 +304,7 @@ def test_csv_sources(spark, tmp_path):
     assert tables.write_report(spark.range(0).toDF("x"), str(tmp_path / "r")) is False
     assert tables.write_report(spark.range(2).toDF("x"), str(tmp_path / "r")) is True
     moved = tables.backup(spark, str(tmp_path / "r"))
-    assert "_backups" in moved and not tables.exists(spark, str(tmp_path / "r")) and tables.exists(spark, moved)
+    assert "/kept/r/" in moved and not tables.exists(spark, str(tmp_path / "r")) and tables.exists(spark, moved)
 
 
 def test_dimension_and_settings(spark):
@@ -236,7 +312,9 @@ def test_dimension_and_settings(spark):
     assert [(r.area, r.area_title, r.description) for r in dimension.areas(tree).orderBy("ordinal").collect()] == [
         ("A0", "Area 0", "some text"), ("A1", "Area 1", "some text")]
     assert [r.standard for r in dimension.standards(tree).orderBy("ordinal").collect()] == ["A0-1", "A0-2", "A1-1", "A1-2"]
-    assert "| **A1-2** | second |" in standards_document(dimension.areas(tree), dimension.standards(tree))
+    blocks = standards_blocks(dimension.areas(tree), dimension.standards(tree))
+    assert [b.words for b in blocks if isinstance(b, Heading)] == ["A0: Area 0", "A1: Area 1"]
+    assert "| A1-2 | second |" in render("Standards", blocks)
     with pytest.raises(ValueError):
         dimension.tree(spark, TREE, 12)
     with pytest.raises(ValueError):
@@ -259,10 +337,14 @@ def test_dimension_and_settings(spark):
 def test_markdown(spark):
     df = spark.createDataFrame([("a|b\nc", None), ("d", 1.5)], "x string, y double")
     assert markdown_table(df, "x") == "| x | y |\n| --- | --- |\n| a\\|b c |  |\n| d | 1.5 |"
-    assert markdown_table(df.limit(0)) == "_(no data)_"
+    assert markdown_table(df.limit(0)) == "*nothing to report*"
     assert html_table(df, "x").endswith("<tr><td>d</td><td>1.5</td></tr></table>")
-    doc = Document("T", "abstract")
-    doc.section("One", "one")
-    doc.table("| x |", "Cap")
-    text = doc.render()
-    assert "- [One](#one)" in text and "- [Table 1. Cap](#table-1)" in text and "**Table 1. Cap**" in text
+    with pytest.raises(ValueError):
+        markdown_table(df, most=1)
+    text = render("T", [Heading("One two"), Words("w"), Grid("Cap", ["x"], [(1,)])])
+    assert "* [One two](#one-two)" in text and "1: Cap" in text and "| 1 |" in text
+    written = {}
+    author = Author(lambda name, table: written.setdefault(name, name), shown=1)
+    assert author.table("Long one", df) == Link("Long one", "long-one") and written
+    with pytest.raises(ValueError):
+        Author(shown=1).table("Long", df)
