@@ -114,8 +114,10 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return float(beta[0] / scale), float(beta[1])
 
 
-def score_column(docs: DataFrame, model: Model, features: Featurizer, norm: bool, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, and _score: whole texts, no shuffle. NULL counts as the empty text."""
+def score_column(
+    docs: DataFrame, model: Model, features: Featurizer, norm: bool, text: str = "text", name: str = "score"
+) -> DataFrame:
+    """All rows and columns of ``docs``, and ``name``: whole texts, no shuffle. NULL counts as the empty text."""
     live = model.weights != 0
 
     @F.pandas_udf("double")
@@ -126,13 +128,13 @@ def score_column(docs: DataFrame, model: Model, features: Featurizer, norm: bool
             out.append(model.scores(model.margins(doc, feature, b - a, norm)))
         return pd.Series(np.concatenate(out))
 
-    return docs.withColumn("_score", scored(F.col(text)))
+    return docs.withColumn(name, scored(F.col(text)))
 
 
 def score(docs: DataFrame, model: Model, features: Featurizer, norm: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return score_column(rows, model, features, norm).select("doc_id", F.col("_score").alias("score"))
+    return score_column(rows, model, features, norm).select("doc_id", "score")
 
 
 def verdicts(scores: DataFrame, modulus: int, rest: int, least: float) -> DataFrame:

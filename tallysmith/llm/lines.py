@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallysmith.functions.numbers import bind
-from tallysmith.llm.shared import SPACE_WORD
+from tallysmith.llm.shared import SPACE_WORD, fresh
 from tallysmith.operators.common import checkpointed
 
 #: Runs of so many lines are always found ...
@@ -100,7 +100,8 @@ def repeated_runs(
 def dedupe_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, long: int = LONG
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with the text less its repeated runs, plus n_lines, n_removed.
+    """All rows and columns of ``docs`` with the text less its repeated runs, plus n_lines, n_removed
+    (columns of those names are replaced).
 
     A run of ``run`` or more lines, or a line of ``long`` or more words, that occurred before (an earlier key,
     or further up in the same text) is deleted; the first occurrence stays.  Runs of blank lines do not count.  A run may overlap its first
@@ -108,28 +109,29 @@ def dedupe_lines(
     are.  A document whose lines all go keeps its row with an empty text; NULL texts stay NULL with no lines;
     NULL keys come last.  Rows that repeat both key and text count as one document and get one result.
     """
-    base = docs.withColumn("_key", F.xxhash64(F.col(key), F.col(text)))
+    own, other, dropped = fresh(docs, "_key"), fresh(docs, "_doc_key"), fresh(docs, "_gone")
+    base = docs.withColumn(own, F.xxhash64(F.col(key), F.col(text)))
     gone = repeated_runs(docs, key, text, run, long)
     gone = gone.groupBy("doc_key").agg(F.collect_set(F.struct("start", "size")).alias("_runs"))
     gone = gone.select(
-        "doc_key",
+        F.col("doc_key").alias(other),
         F.array_distinct(
             F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
-        ).alias("_gone"),
+        ).alias(dropped),
     )
-    joined = base.join(gone, base["_key"] == gone["doc_key"], "left")
+    joined = base.join(gone, base[own] == gone[other], "left")
     lines = F.split(F.col(text), "\n")
     left = bind(
         lines,
         lambda every: F.transform(
-            F.array_except(F.sequence(F.lit(1), F.size(every)), "_gone"), lambda i: F.element_at(every, i)
+            F.array_except(F.sequence(F.lit(1), F.size(every)), F.col(dropped)), lambda i: F.element_at(every, i)
         ),
     )
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    kept = F.when(F.col(dropped).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     count = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     count = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(count)
     return joined.select(
         *[F.col(c) for c in docs.columns if c not in (text, "n_lines", "n_removed")],
         kept.alias(text), count.alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_removed"),
     )

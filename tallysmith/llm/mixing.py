@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysmith.llm.shared import SPACE_WORD, measured
+from tallysmith.llm.shared import SPACE_WORD, fresh, measured
 from tallysmith.operators.common import checkpointed
 
 REPEATS = 3
@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     # The first source that the level does not fill marks the level of all that follow.
     common = F.min(F.when(F.col("_open"), F.struct("_ratio", F.col("source").isNull().alias("n"), "source", "_level")))
     level = common.over(Window.partitionBy())["_level"]
-    target = F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight")))
+    target = F.when(F.col("weight") <= 0, F.lit(0.0)).when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight")))
     return rows.withColumn("target", target).select(*sizes.columns, "target")
 
 
@@ -58,8 +58,8 @@ def cycled_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``mix_sized`` with sizes counted in words."""
-    sized = docs.withColumn("_size", n_words(text))
-    return mix_sized(sized, key=key, size="_size", source=source, **options)
+    size = fresh(docs, "_size")
+    return mix_sized(docs.withColumn(size, n_words(text)), key=key, size=size, source=source, **options)
 
 
 def mix_sized(

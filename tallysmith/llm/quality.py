@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysmith.llm import linear
 from tallysmith.llm.hashing import U64, batches, chained, joined, scramble, span_hashes, spans
+from tallysmith.llm.shared import fresh
 
 DIM_BITS = 18
 LEAST = 0.3
@@ -134,5 +135,6 @@ def classify(docs: DataFrame, model: linear.Model, modulus: int = 5, rest: int =
 
 def keep_good(docs: DataFrame, model: linear.Model, least: float = LEAST, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``least`` or more. One pass over the rows."""
-    scores = linear.score_column(docs, model, features, True, text)
-    return scores.filter(F.col("_score") >= least).drop("_score")
+    name = fresh(docs, "_score")
+    scores = linear.score_column(docs, model, features, True, text, name)
+    return scores.filter(F.col(name) >= least).drop(name)

@@ -34,6 +34,14 @@ def held_out(key: Column | str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(key, modulus) == rest, F.lit(False))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def measured(df: DataFrame, most: int) -> tuple[DataFrame, int]:
     """The rows as a written table, with a broadcast hint only if they are counted to be at most ``most``.
 

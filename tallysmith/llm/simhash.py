@@ -255,6 +255,8 @@ def _compare(distance: int):
             return pd.DataFrame({"u": fp[i], "v": fp[j]})
 
         for frame in frames:
+            if not len(frame):
+                continue
             rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             last = rows[["part", "key", "low", "high"]].iloc[-1]
             open_ = (rows[["part", "key", "low", "high"]] == last).all(axis=1).to_numpy()

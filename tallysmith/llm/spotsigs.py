@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysmith.functions.numbers import as_column, bind
-from tallysmith.llm.shared import WORD_BREAK, fold_ascii, measured
+from tallysmith.llm.shared import WORD_BREAK, fold_ascii, fresh, measured
 from tallysmith.operators.common import checkpointed
 
 CHAIN = 2
@@ -117,16 +117,19 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", bits: in
     below = _block_below(heads.select("_block"), bits)
     wanted = below.join(heads.withColumnRenamed("_block", "_below"), "_below").select("_block", "_head")
     wanted, _ = measured(wanted, BLOCK_ROWS)
-    first = docs.select(rank.alias("_k"), F.struct(*columns).alias("_row")).join(wanted, F.col("_k") == F.col("_head"))
-    extra = first.groupBy("_block").agg(F.max("_row").alias("_row"))
-    named = [f"_row.{c}" for c in columns]
+    # Everything else travels in two structs, so names cannot clash.
     rest = [c for c in docs.columns if c not in columns]
-    rows = docs.select(*[F.col(c) for c in docs.columns], rank.alias("_k"), block.alias("_block"))
-    rows = rows.unionByName(extra.select("_block", *named), allowMissingColumns=True)
-    order = [F.col("_k").desc_nulls_last(), *[F.col(c).desc() for c in columns]]
-    ahead = F.lead(F.struct(*columns)).over(Window.partitionBy("_block").orderBy(*order))
-    found = rows.withColumn("_next", ahead).filter("_k is not null")
-    return found.select(*rest, *columns, *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
+    every = F.struct(*rest, F.lit(True).alias(fresh(docs, "_"))).alias("_rest")
+    rows = docs.select(rank.alias("_k"), block.alias("_block"), every, F.struct(*columns).alias("_row"))
+    first = rows.select("_k", "_row").join(wanted, F.col("_k") == F.col("_head"))
+    extra = first.groupBy("_block").agg(F.max("_row").alias("_row"))
+    rows = rows.unionByName(extra, allowMissingColumns=True)
+    order = Window.partitionBy("_block").orderBy(F.col("_k").desc_nulls_last(), F.col("_row").desc())
+    found = rows.withColumn("_next", F.lead("_row").over(order)).filter("_k is not null")
+    return found.select(
+        *[F.col("_rest")[c].alias(c) for c in rest], *[F.col("_row")[c].alias(c) for c in columns],
+        *[F.col("_next")[c].alias(f"next_{c}") for c in columns],
+    )
 
 
 def _block_below(blocks: DataFrame, bits: int, few: int = 4096) -> DataFrame:
