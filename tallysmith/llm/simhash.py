@@ -20,6 +20,8 @@ BITS = 64
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
+#: Keys that a fingerprint is written under for one part at most.
+MOST_KEYS = 1_000
 #: Rows of one bucket that are compared in one go; larger buckets are cut into blocks.
 BLOCK = 4096
 #: Most ids that are broadcast; more are joined by shuffling.
@@ -142,7 +144,7 @@ def search_plan(prints: DataFrame, distance: int = DISTANCE) -> list[tuple[list[
     rows, together = bit_counts(prints)
     mean = np.diag(together) / max(rows, 1)
     options = []
-    for parts in range(2, distance + 2):
+    for parts in range(1, distance + 2):
         groups = group_bits(rows, together, parts)
         equal = _equal_pairs(prints, groups)
         total = distance - parts + 1
@@ -151,12 +153,16 @@ def search_plan(prints: DataFrame, distance: int = DISTANCE) -> list[tuple[list[
             odds = _distance_odds(mean, bits, max(total + parts - 1, 0))
             line = [0.0]
             for t in range(0, total + parts):
-                keys = rows * sum(comb(len(bits), d) for d in range(t + 1))
+                each = sum(comb(len(bits), d) for d in range(t + 1))
+                if each > MOST_KEYS:  # never needed: with more parts smaller thresholds do
+                    break
+                keys = (rows + 1) * each
                 met = pairs * sum(odds[: t + 1]) / max(odds[0], 1e-30)
                 line.append(8.0 * keys + met)
             costs.append(line)
-        cost, thresholds = allocate(costs, total)
-        options.append((cost, [(bits, t) for bits, t in zip(groups, thresholds) if t >= 0]))
+        if total <= sum(len(line) - 2 for line in costs):
+            cost, thresholds = allocate(costs, total)
+            options.append((cost, [(bits, t) for bits, t in zip(groups, thresholds) if t >= 0]))
     return min(options)[1]
 
 
@@ -188,15 +194,12 @@ def _keys(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     rows = []
     for part, (bits, threshold) in enumerate(plan):
         own = _masked("fp", bits)
-        kept = [F.struct(own.alias("key"), F.lit(False).alias("probe"))]
-        for count in range(1, threshold + 1):
-            for flips in combinations(bits, count):
-                mask = F.lit(_signed(sum(1 << b for b in flips)))
-                low = F.lit(_signed(1 << min(flips)))
-                key = F.when(F.col("fp").bitwiseAND(low) != 0, own.bitwiseXOR(mask))
-                kept.append(F.struct(key.alias("key"), F.lit(True).alias("probe")))
-        found = prints.select("fp", F.explode(F.array(*kept)).alias("k"))
-        rows.append(found.filter("k.key is not null").select(F.lit(part).alias("part"), "k.key", "fp", "k.probe"))
+        masks = [0] + [_signed(sum(1 << b for b in c)) for n in range(1, threshold + 1) for c in combinations(bits, n)]
+        found = prints.select("fp", F.explode(F.array(*map(F.lit, masks)).cast("array<bigint>")).alias("mask"))
+        lowest = F.col("mask").bitwiseAND(-F.col("mask"))
+        found = found.filter((F.col("mask") == 0) | (F.col("fp").bitwiseAND(lowest) != 0))
+        key = own.bitwiseXOR(F.col("mask")).alias("key")
+        rows.append(found.select(F.lit(part).alias("part"), key, "fp", (F.col("mask") != 0).alias("probe")))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionAll(more)

@@ -188,8 +188,8 @@ def count_tokens(
                 tree = TokenTree(value or "", counts)
                 before, pieces = tree.total, tree.pieces
                 for step in steps if steps is not None else ():
-                    if step is not None and None not in (step["start"], step["length"], step["replacement"]):
-                        tree.edit(step["start"], step["length"], step["replacement"])
+                    if step is not None and not any(pd.isna(step[c]) for c in ("start", "length", "replacement")):
+                        tree.edit(int(step["start"]), int(step["length"]), step["replacement"])
                 rows.append((before, tree.total, pieces, tree.pieces, tree.encoded))
             names = ["n_tokens", "edited_tokens", "n_pieces", "edited_pieces", "encoded_again"]
             yield pd.DataFrame(rows, columns=names, dtype="int64")
