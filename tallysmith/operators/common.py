@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+SPREAD_BYTES = 256 << 20
+
+
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose grouping keys are all present; missing keys take part in no report."""
     return df.dropna(how="any", subset=list(keys)) if keys else df
@@ -24,10 +27,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on an input that comes in fewer splits than there are cores.
+    """Use all cores for CPU-heavy work on a small input that comes in fewer splits than there are cores.
 
-    Large tables have more splits than cores and pass through unchanged, without a shuffle.
+    An input of more than ``SPREAD_BYTES`` by the optimizer's estimate is never shuffled for that, however
+    many cores there are: set the split size where it is read instead.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

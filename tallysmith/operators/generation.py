@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallysmith.functions.numbers import in_band, round_to
 from tallysmith.functions.text import fk_grade, token_set
 from tallysmith.operators import quota
-from tallysmith.operators.common import checkpointed
+from tallysmith.operators.common import checkpointed, number_rows
 from tallysmith.operators.quota import SLOT
 from tallysmith.operators.similarity import (
     DEFAULT_THRESHOLD, _candidates, _similar, blocking_keys, set_ratio, with_signature,
@@ -24,6 +24,10 @@ Provider = Callable[[DataFrame, int], DataFrame]
 
 # A round looks at this many candidates per slot: a multiple of the need, and at least some.
 FRONT_FACTOR, FRONT_LEAST = 8, 64
+# And decides no more candidates of an area than this, which bounds the group that is decided in order.
+AREA_FRONT = 4_096
+# Cells of a plan and places in a reply stay below this, so that positions cannot collide.
+PLACES = 100_000_000
 
 ACCEPTED, DUPLICATE, FULL = "accepted", "duplicate", "slot_full"
 
@@ -43,8 +47,8 @@ def accept_candidates(
 
     Both rules depend on earlier choices, so they are settled together: each round looks at the next few
     candidates of every slot up to the point where no slot can hide an earlier candidate, decides them in
-    order, and removes what they rule out from the rest by a join. How many candidates of an area a round
-    decides depends on the quota plan alone, never on the number of candidates.
+    order, and removes what they rule out from the rest by a join. A round decides at most ``AREA_FRONT``
+    candidates of an area.
     """
     # Written first: with a known size Spark broadcasts the slots only while they are small.
     need = checkpointed(need.select(*SLOT, "need"))
@@ -70,14 +74,17 @@ def accept_candidates(
     while not live.isEmpty():
         room = F.greatest(F.col("need") * FRONT_FACTOR, F.lit(FRONT_LEAST))
         most = left.agg(F.max(room)).first()[0]
-        turn = F.row_number().over(Window.partitionBy(*SLOT).orderBy("position"))
-        heads = live.withColumn("turn", turn).filter(F.col("turn") <= most).join(left, SLOT)
+        heads = number_rows(live, SLOT, ["position"], "turn").filter(F.col("turn") <= most).join(left, SLOT)
         heads = checkpointed(heads.filter(F.col("turn") <= room))
         shown = heads.groupBy(*SLOT).agg(F.count("*").alias("shown"), F.max("position").alias("last"))
         size = live.groupBy(*SLOT).agg(F.count("*").alias("size"))
         hidden = shown.join(size, SLOT).filter("size > shown")
         horizon = hidden.groupBy("area").agg(F.min("last").alias("horizon"))
-        safe = heads.join(horizon, "area", "left").filter("horizon IS NULL OR position <= horizon")
+        # Any first part of an area's order can be decided, so a round takes a bounded one.
+        places = number_rows(heads.select("area", "position"), ["area"], ["position"], "place")
+        ends = places.filter(F.col("place") == AREA_FRONT).select("area", F.col("position").alias("end"))
+        safe = heads.join(horizon, "area", "left").join(ends, "area", "left")
+        safe = checkpointed(safe.filter("position <= coalesce(least(horizon, end), position)").drop("end"))
         with_words = safe.join(sets.select("area", "position", "tokens"), ["area", "position"], "left")
         chosen = with_words.select(*SLOT, "position", "need", "tokens").groupBy("area").applyInPandas(
             _in_order(threshold), f"{', '.join(f'{c} string' for c in SLOT)}, position long"
@@ -107,7 +114,7 @@ def accept_candidates(
 
 
 def _in_order(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Decide the front of one area in order; its size is bounded by the plan (slots x front)."""
+    """Decide the front of one area in order; it has at most ``AREA_FRONT`` rows."""
 
     def decide(front: pd.DataFrame) -> pd.DataFrame:
         left: dict[tuple[str, str], int] = {}
@@ -149,6 +156,8 @@ class GenerationResult:
     rejects: DataFrame
     slots: DataFrame
     rounds: int
+    #: Why it ended: "filled", "exhausted" (open slots were stuck and no sibling could take their need) or "rounds".
+    stopped: str
 
 
 def generate(
@@ -185,10 +194,16 @@ def generate(
     accepted_parts: list[DataFrame] = []
     reject_parts: list[DataFrame] = []
     rounds = 0
+    need = F.col("target") - F.col("have")
+
+    def ending() -> str | None:
+        if slots.filter((need > 0) & ~F.col("capped")).isEmpty():
+            return "filled" if slots.filter(need > 0).isEmpty() else "exhausted"
+        return None
+
     for number in range(1, max_rounds + 1):
-        need = F.col("target") - F.col("have")
         cells = slots.filter((need > 0) & ~F.col("capped")).withColumn("need", need)
-        if cells.isEmpty():
+        if ending():
             break
         rounds = number
         n_request = F.greatest(F.col("need"), F.rint(F.col("need") * overgen).cast("bigint"))
@@ -200,9 +215,10 @@ def generate(
                 "answer": F.trim("answer"),
                 "round": F.lit(number),
                 # Positions grow with the round, the cell and the place in the reply.
-                "position": (F.lit(number) * 1_000_000 + F.col("cell")).cast("bigint") * 1_000_000 + F.col("item"),
+                "position": (F.lit(number).cast("bigint") * PLACES + F.col("cell")) * PLACES + F.col("item"),
+                "_fits": F.assert_true((F.col("cell") < PLACES) & (F.col("item") < PLACES), "too many cells or items"),
             }
-        ).filter("question <> '' AND answer <> ''")
+        ).filter("question <> '' AND answer <> '' AND _fits IS NULL").drop("_fits")
         graded = checkpointed(judged.withColumn("grade", fk_grade("question")))
         level = in_band("grade", *grade_band)
         grade_text = F.concat(F.lit("fk_grade="), round_to("grade", 1).cast("string"), F.lit("_out_of_band"))
@@ -230,8 +246,8 @@ def generate(
         empty = spark.createDataFrame([], "area string, standard string, question_type string, position bigint, "
                                           "round int, question string, answer string, fk_grade double")
         rejects = empty.select(*SLOT, "question", F.lit("").alias("reason"), "round")
-        return GenerationResult(empty, rejects, slots, 0)
-    return GenerationResult(_union(accepted_parts), _union(reject_parts), slots, rounds)
+        return GenerationResult(empty, rejects, slots, 0, ending() or "rounds")
+    return GenerationResult(_union(accepted_parts), _union(reject_parts), slots, rounds, ending() or "rounds")
 
 
 def _earlier(existing: DataFrame | None, accepted: list[DataFrame]) -> DataFrame | None:

@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tallysmith.functions.text import token_set
-from tallysmith.operators.common import checkpointed, keyed
+from tallysmith.operators.common import checkpointed, keyed, number_rows
 
 DEFAULT_THRESHOLD = 88.0
 
+#: Leading items of a key that are settled at a time never grow beyond this; the other side of the key may have
+#: any number of rows, is only joined to those, and is split by Spark where it is skewed.
+FRONT_MOST = 1024
+
 
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, one machine-word row at a time (bit-parallel)."""
@@ -318,9 +322,8 @@ def _keep_greedily(sets: DataFrame, threshold: float, front_size: int) -> DataFr
     live = checkpointed(blocking_keys(sets, threshold))
     kept_parts: list[DataFrame] = []
     while not live.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("area", "key").orderBy("position"))
-        heads = live.filter("lead").select("area", "key", "position", nth.alias("nth"))
-        heads = heads.filter(F.col("nth") <= front_size)
+        leading = live.filter("lead").select("area", "key", "position")
+        heads = number_rows(leading, ["area", "key"], ["position"], "nth").filter(F.col("nth") <= front_size)
         full = F.count("*") >= front_size
         cuts = heads.groupBy("area", "key").agg(F.when(full, F.max("position")).alias("cut"))
         marked = live.join(cuts, ["area", "key"]).withColumn(
@@ -342,7 +345,7 @@ def _keep_greedily(sets: DataFrame, threshold: float, front_size: int) -> DataFr
             beyond = _similar(_candidates(kept_keys, rest, threshold), sets, threshold)
             gone = gone.unionByName(beyond.select("area", F.col("later").alias("position")))
         live = checkpointed(live.join(gone.distinct(), ["area", "position"], "left_anti"))
-        front_size *= 4
+        front_size = max(front_size, min(front_size * 4, FRONT_MOST))
     return _union(kept_parts)
 
 

@@ -749,14 +749,16 @@ def generation_accept(spark, sf):
 
 @query
 def generation_loop(spark, sf):
-    """Up to three rounds of filling quotas from the parts, served slot by slot."""
+    """Filling quotas from the parts, served slot by slot, until no slot is open; ``stopped`` says how it ended."""
     serial = number_within(facts.part_questions(spark, sf), quota.SLOT, "position", "serial")
     pool = serial.select(*quota.SLOT, "serial", "question", F.col("reference_answer").alias("answer"))
     types = {t: i for i, t in enumerate(ensemble.QUESTION_TYPES)}
     result = generation.generate(
-        _part_plan(spark, sf, 15), generation.pool_provider(pool), types, (-20.0, 9.0), max_rounds=3, patience=1
+        _part_plan(spark, sf, 15), generation.pool_provider(pool), types, (-20.0, 9.0), overgen=4.0,
+        max_rounds=50, patience=1,
     )
-    return result.accepted.select(*quota.SLOT, "round", "position", "question", "answer", "fk_grade")
+    columns = [*quota.SLOT, "round", "position", "question", "answer", "fk_grade"]
+    return result.accepted.select(*columns, F.lit(result.stopped).alias("stopped"))
 
 
 # --- incremental loads ----------------------------------------------------------------------------------

@@ -629,3 +629,70 @@ ORACLES["token_set_copies"] = f"""WITH t AS (SELECT p_brand AS area, p_partkey,
   array_to_string(list_sort(list_distinct({NORMAL.replace('text', 'p_name')})), ' ') AS tokens FROM part)
 SELECT area, tokens, min(p_partkey) AS first_position, count(*) AS copies FROM t GROUP BY 1, 2 HAVING count(*) > 1"""
 ORACLES["incremental_append"] = "SELECT event_id, event_type, value FROM events"
+
+# Longest common subsequence by rows of the usual table. Lists of one number stand in for the numbers that are
+# folded over, because a fold keeps to the type of its elements.
+LCS = """list_reduce(
+  list_prepend(list_transform(range(0, len(y) + 1), lambda j: 0),
+    list_transform(range(1, len(x) + 1), lambda i: [ord(x[i])])),
+  lambda above, c: list_reduce(
+    list_prepend([0], list_transform(range(1, len(y) + 1), lambda j: [CAST(j AS INTEGER)])),
+    lambda row, j: list_append(row, CASE WHEN ord(y[j[1]]) = c[1] THEN above[j[1]] + 1
+      ELSE greatest(row[-1], above[j[1] + 1]) END)))[-1]"""
+NAME_TOKENS = f"list_sort(list_distinct({NORMAL.replace('text', 'p_name')}))"
+# Similarity of all distinct names: full token-set ratio.
+NAMES = f"""names AS (SELECT DISTINCT array_to_string({NAME_TOKENS}, ' ') AS name, {NAME_TOKENS} AS t FROM part),
+sides AS (
+  SELECT a.name AS p, b.name AS q, list_sort(list_intersect(a.t, b.t)) AS i,
+    array_to_string(list_filter(a.t, lambda w: NOT list_contains(b.t, w)), ' ') AS x,
+    array_to_string(list_filter(b.t, lambda w: NOT list_contains(a.t, w)), ' ') AS y
+  FROM names a, names b WHERE len(a.t) > 0 AND len(b.t) > 0),
+sized AS (
+  SELECT *, len(array_to_string(i, ' ')) AS s, len(array_to_string(i, ' ')) + CAST(len(i) > 0 AS INTEGER) + len(x) AS na,
+    len(array_to_string(i, ' ')) + CAST(len(i) > 0 AS INTEGER) + len(y) AS nb FROM sides),
+alike AS (
+  SELECT p, list(q) AS near FROM sized
+  WHERE (s > 0 AND (x = '' OR y = ''))
+    OR (s > 0 AND greatest(100 - 1e2 * (na - s) / (s + na), 100 - 1e2 * (nb - s) / (s + nb)) >= 88)
+    OR (x <> '' AND y <> '' AND 100 - 1e2 * (len(x) + len(y) - 2 * {LCS}) / (na + nb) >= 88)
+  GROUP BY p)"""
+ORACLES["greedy_dedupe"] = f"""WITH RECURSIVE {NAMES},
+q AS (SELECT p_partkey, p_brand, p_name, array_to_string({NAME_TOKENS}, ' ') AS name FROM part),
+turn AS (
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY first) AS r
+  FROM (SELECT p_brand, name, min(p_partkey) AS first FROM q WHERE name <> '' GROUP BY 1, 2)),
+walk AS (
+  SELECT p_brand, 0 AS r, CAST([] AS VARCHAR[]) AS kept FROM (SELECT DISTINCT p_brand FROM turn)
+  UNION ALL
+  SELECT w.p_brand, w.r + 1, CASE WHEN len(list_intersect(w.kept, a.near)) > 0 THEN w.kept ELSE list_append(w.kept, t.name) END
+  FROM walk w JOIN turn t ON t.p_brand = w.p_brand AND t.r = w.r + 1 JOIN alike a ON a.p = t.name),
+final AS (SELECT p_brand, arg_max(kept, r) AS kept FROM walk GROUP BY 1)
+SELECT p_partkey AS position, q.p_brand AS area, p_name AS question,
+  CAST(q.name = '' OR (t.first = p_partkey AND list_contains(f.kept, q.name)) AS INTEGER) AS kept
+FROM q LEFT JOIN turn t ON t.p_brand = q.p_brand AND t.name = q.name LEFT JOIN final f ON f.p_brand = q.p_brand"""
+ORACLES["generation_accept"] = f"""WITH RECURSIVE {NAMES},
+q AS (
+  SELECT p_partkey, p_brand AS area, concat(p_brand, '-', p_type) AS standard, p_name, CASE p_size % 3 WHEN 0 THEN 'recall'
+    WHEN 1 THEN 'conceptual' ELSE 'applied' END AS question_type, array_to_string({NAME_TOKENS}, ' ') AS name FROM part),
+place AS (
+  SELECT area, standard, row_number() OVER (PARTITION BY area ORDER BY standard) - 1 AS i, count(*) OVER (PARTITION BY area) AS n
+  FROM (SELECT DISTINCT area, standard FROM q)),
+slot AS (
+  SELECT area, standard, question_type, 12 // n + CAST(i < 12 % n AS INTEGER) AS need
+  FROM place, (SELECT unnest(['recall', 'conceptual', 'applied']) AS question_type)),
+turn AS (
+  SELECT q.*, need, concat(standard, '|', question_type) AS slot,
+    row_number() OVER (PARTITION BY area ORDER BY p_partkey) AS r
+  FROM q JOIN slot USING (area, standard, question_type)),
+walk AS (
+  SELECT area, 0 AS r, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS slots, '' AS outcome FROM turn GROUP BY 1
+  UNION ALL
+  SELECT area, r, CASE WHEN outcome = 'accepted' THEN list_append(kept, name) ELSE kept END,
+    CASE WHEN outcome = 'accepted' THEN list_append(slots, slot) ELSE slots END, outcome
+  FROM (
+    SELECT w.area, w.r + 1 AS r, w.kept, w.slots, t.name, t.slot,
+      CASE WHEN len(list_filter(w.slots, lambda s: s = t.slot)) >= t.need THEN 'slot_full'
+        WHEN t.name <> '' AND len(list_intersect(w.kept, a.near)) > 0 THEN 'duplicate' ELSE 'accepted' END AS outcome
+    FROM walk w JOIN turn t ON t.area = w.area AND t.r = w.r + 1 LEFT JOIN alike a ON a.p = t.name))
+SELECT p_partkey AS position, area, standard, question_type, p_name AS question, outcome
+FROM turn JOIN walk USING (area, r)"""

@@ -45,5 +45,5 @@ def standards(tree_table: DataFrame) -> DataFrame:
     spread = tree_table.select("area", F.col("ordinal").alias("area_ordinal"), F.posexplode("standards").alias("place", "s"))
     return spread.select(
         "area", F.col("s.code").alias("standard"), F.col("s.text").alias("standard_text"), "area_ordinal",
-        (F.col("area_ordinal") * 10_000 + F.col("place")).alias("ordinal"),
+        (F.col("area_ordinal").cast("bigint") * 1_000_000_000 + F.col("place")).alias("ordinal"),
     )

@@ -16,7 +16,7 @@ def test_keyed_table(spark, tmp_path):
     tasks = spark.createDataFrame([("Q1", "1"), ("Q2", "1")], "question_id string, run string")
     assert [r.question_id for r in table.pending(tasks).collect()] == ["Q2"]
     again = KeyedTable(spark, str(tmp_path / "t"), ["question_id", "run"], SCHEMA, fresh=True)
-    assert again.read().count() == 0 and (tmp_path / "_backups").exists()
+    assert again.read().count() == 0 and (tmp_path / "kept" / "t").exists()
 
 
 def test_follow_appends_each_key_once(spark, tmp_path):
