@@ -24,10 +24,14 @@ def run_tasks(items: DataFrame, runs: int) -> DataFrame:
 
 
 def pending(tasks: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tasks whose key is not done yet; keys compare as text."""
-    finished = done.select(*[F.col(k).cast("string").alias(f"_{k}") for k in keys])
-    same = [F.col(k).cast("string") == F.col(f"_{k}") for k in keys]
-    return tasks.join(finished, same, "left_anti")
+    """Tasks whose key is not done yet; keys of different types compare as text."""
+    alike = {k: tasks.schema[k].dataType == done.schema[k].dataType for k in keys}
+
+    def comparable(k: str) -> Column:
+        return F.col(k) if alike[k] else F.col(k).cast("string")
+
+    finished = done.select(*[comparable(k).alias(f"_{k}") for k in keys])
+    return tasks.join(finished, [comparable(k) == F.col(f"_{k}") for k in keys], "left_anti")
 
 
 def verdicts_wide(long: DataFrame, judges: Sequence[str], key: str = "question_id") -> DataFrame:

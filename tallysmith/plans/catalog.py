@@ -16,14 +16,15 @@ from tallysmith.operators import (
     accuracy, agreement, calibration, coverage, ensemble, generation, items, overrides, panel, quota,
     significance, similarity, usage,
 )
-from tallysmith.operators.common import number_within, scratch_root, spread
-from tallysmith.sources import facts
+from tallysmith.operators.common import checkpointed, number_within, scratch_root, spread
+from tallysmith.sources import facts, schemas, tables
 from tallysmith.streaming.resume import KeyedTable, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
+RUNS_ASKED = 3
 GRADE_BAND = (5.0, 9.0)
 ITEM_BAND = (0.0, 5.0)
 TYPE_SPLIT = {"AUTOMOBILE": 34, "BUILDING": 33, "FURNITURE": 33, "HOUSEHOLD": 20, "MACHINERY": 7}
@@ -194,12 +195,13 @@ QUERIES["significance"] = _significance
 
 @query
 def win_matrix(spark, sf):
-    return significance.win_matrix(significance.significance(facts.trials(spark, sf)), facts.MODELS)
+    tests = checkpointed(significance.significance(facts.trials(spark, sf)))
+    return significance.win_matrix(tests, facts.MODELS)
 
 
 @query
 def win_counts(spark, sf):
-    return significance.win_counts(significance.significance(facts.trials(spark, sf)))
+    return significance.win_counts(checkpointed(significance.significance(facts.trials(spark, sf))))
 
 
 # --- judge panel ----------------------------------------------------------------------------------------
@@ -218,7 +220,7 @@ def task_crossjoin(spark, sf):
 
 @query
 def run_tasks(spark, sf):
-    return panel.run_tasks(facts.part_questions(spark, sf).select("question_id"), facts.RUNS)
+    return panel.run_tasks(facts.part_questions(spark, sf).select("question_id"), RUNS_ASKED)
 
 
 @query
@@ -761,6 +763,74 @@ def generation_loop(spark, sf):
     return result.accepted.select(*columns, F.lit(result.stopped).alias("stopped"))
 
 
+# --- exchange files ------------------------------------------------------------------------------------
+
+def _scratch(spark) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Questions written as CSV (quotes, line breaks, NULLs) and read back with their types."""
+    docs = facts.table(spark, sf, "conversations")
+    text = F.when(F.col("turn") % 7 != 3, F.concat(F.lit('say "'), "text", F.lit('",\nthen, stop')))
+    grade = F.when(F.col("turn") % 5 == 1, "n/a").otherwise((F.col("conv_id") / 8).cast("string"))
+    rows = docs.select(
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"), text.alias("question"), grade.alias("fk_grade"),
+        F.lit("ignored").alias("unknown_column"),
+    )
+    path = _scratch(spark)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    back = tables.read_csv(spark, path, schemas.GROUND_TRUTH)
+    return back.select("question_id", "area", "question", round_to("fk_grade", 6).alias("fk_grade"))
+
+
+@query
+def csv_optional(spark, sf):
+    """Items of a file that is there, and of one that is not."""
+    path = _scratch(spark)
+    labels = facts.table(spark, sf, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").alias("human_score"))
+    labels.write.option("header", True).csv(path)
+    there = tables.read_csv_or_empty(spark, path, schemas.ITEM_FLAGS).withColumn("source", F.lit("there"))
+    missing = tables.read_csv_or_empty(spark, path + "-none", schemas.ITEM_FLAGS).withColumn("source", F.lit("missing"))
+    return there.unionByName(missing).select("source", "question_id", "human_score", "human_notes")
+
+
+@query
+def csv_per_model(spark, sf):
+    """Scored answers from one file per model, the model taken from the file name; per model and standard."""
+    folder = _scratch(spark)
+    trials = facts.trials(spark, sf).withColumn(
+        "binary_score", F.when(F.col("run") % 4 != 0, F.col("binary_score").cast("string")).otherwise("")
+    )
+    written = trials.withColumn("_file", F.col("model"))
+    written.write.partitionBy("_file").option("header", True).csv(f"{folder}/parts")
+    tables.name_by_partition(spark, f"{folder}/parts", "_file", f"{folder}/eval_", "_triple.csv")
+    back = tables.read_trials(spark, folder, "triple", schemas.EVAL, prefix="eval_")
+    return back.groupBy("model", "standard").agg(
+        F.count("*").alias("answers"), F.sum("binary_score").alias("right"), F.sum("is_refusal").alias("refusals"),
+        F.count("rubric_score").alias("rubrics"),
+    )
+
+
+@query
+def reply_items(spark, sf):
+    """Questions read from replies: whole, fenced, without an answer, and cut off."""
+    turns = facts.table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("t"))
+    body = F.to_json(F.struct(F.array(
+        F.struct(F.concat(F.lit(" "), "t").alias("question"), F.concat(F.lit("a"), "turn").alias("answer")),
+        F.struct(F.col("t").alias("question"), F.lit(" ").alias("answer")),
+        F.struct(F.concat(F.lit("b "), "t").alias("question"), F.lit("yes").alias("answer")),
+    ).alias("items")))
+    shape = F.col("turn") % 4
+    reply = (
+        F.when(shape == 0, body).when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(shape == 2, F.concat(F.lit("Here: "), body, F.lit(" Done."))).otherwise(F.substring(body, 1, 30))
+    )
+    found = turns.select("conv_id", "turn", F.posexplode(R.question_items(R.parse_reply(reply))).alias("place", "i"))
+    return found.select("conv_id", "turn", "place", "i.question", "i.answer")
+
+
 # --- incremental loads ----------------------------------------------------------------------------------
 
 @query

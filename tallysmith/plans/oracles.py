@@ -696,3 +696,18 @@ walk AS (
     FROM walk w JOIN turn t ON t.area = w.area AND t.r = w.r + 1 LEFT JOIN alike a ON a.p = t.name))
 SELECT p_partkey AS position, area, standard, question_type, p_name AS question, outcome
 FROM turn JOIN walk USING (area, r)"""
+
+
+# --- exchange files ---------------------------------------------------------------------------------------
+
+ORACLES["csv_round_trip"] = f"""SELECT concat_ws('-', conv_id, turn) AS question_id, CAST(NULL AS VARCHAR) AS area,
+  CASE WHEN turn % 7 <> 3 THEN concat('say "', text, '",', chr(10), 'then, stop') END AS question,
+  CASE WHEN turn % 5 <> 1 THEN {rnd('conv_id / 8e0', 6)} END AS fk_grade FROM conversations"""
+ORACLES["csv_optional"] = """SELECT 'there' AS source, CAST(doc_id AS VARCHAR) AS question_id,
+  CAST(quality AS VARCHAR) AS human_score, CAST(NULL AS VARCHAR) AS human_notes FROM labels"""
+ORACLES["csv_per_model"] = f"""WITH {EV} SELECT model, standard, count(*) AS answers,
+  {big("sum(CASE WHEN run % 4 <> 0 THEN binary_score ELSE 0 END)")} AS "right", {big('sum(is_refusal)')} AS refusals,
+  count(rubric_score) AS rubrics FROM ev GROUP BY 1, 2"""
+ORACLES["reply_items"] = """WITH t AS (SELECT conv_id, turn, substr(text, 1, 40) AS t FROM conversations WHERE turn % 4 < 3)
+SELECT conv_id, turn, CAST(p AS INTEGER) AS place, CASE p WHEN 0 THEN trim(t) ELSE trim(concat('b ', t)) END AS question,
+  CASE p WHEN 0 THEN concat('a', turn) ELSE 'yes' END AS answer FROM t, (SELECT unnest([0, 1]) AS p)"""

@@ -64,19 +64,30 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: StructType, multi_
 def read_per_model(
     spark: SparkSession, folder: str, suffix: str, schema: StructType, prefix: str = "", multi_line: bool = True
 ) -> DataFrame:
-    """All files ``<prefix><model><suffix>.csv`` of a folder in one scan, the model taken from the file name."""
+    """All files (or folders of part files) ``<prefix><model><suffix>.csv`` in one scan, the model from the name."""
     glob = f"{folder.rstrip('/')}/{prefix}*{suffix}.csv"
     if not exists(spark, glob):
         raise FileNotFoundError(f"no files match {glob}; run the stage that writes them first")
-    pattern = f"^{re.escape(prefix)}(.*){re.escape(suffix)}\\.csv$"
+    # The name may be that of a file or of a folder of part files.
+    pattern = f"/{re.escape(prefix)}([^/]*){re.escape(suffix)}\\.csv(/[^/]*)?$"
     raw = _raw_csv(spark, glob, multi_line)
-    model = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("model")
+    model = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("model")
     return _typed(raw, schema, [model])
 
 
-def read_trials(spark: SparkSession, folder: str, mode: str, schema: StructType) -> DataFrame:
+def name_by_partition(spark: SparkSession, folder: str, column: str, prefix: str, suffix: str) -> None:
+    """Give the folders that ``partitionBy(column)`` wrote the names ``<prefix><value><suffix>``, for exchange
+    by file name."""
+    root, fs = _path(spark, folder)
+    for found in fs.listStatus(root):
+        name = found.getPath().getName()
+        if name.startswith(f"{column}="):
+            fs.rename(found.getPath(), _path(spark, f"{prefix}{name.removeprefix(column + '=')}{suffix}")[0])
+
+
+def read_trials(spark: SparkSession, folder: str, mode: str, schema: StructType, prefix: str = "") -> DataFrame:
     """Scored answers of a mode: missing scores and refusal marks count as 0, missing rubrics stay missing."""
-    rows = read_per_model(spark, folder, f"_{mode}", schema)
+    rows = read_per_model(spark, folder, f"_{mode}", schema, prefix)
     return rows.withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ("binary_score", "is_refusal")}
     )

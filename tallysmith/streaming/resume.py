@@ -16,15 +16,20 @@ from tallysmith.sources.tables import backup, exists
 class KeyedTable:
     """Append-only Parquet table with one row per key."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, fresh: bool = False):
+    def __init__(
+        self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, fresh: bool = False,
+        partition: Sequence[str] = (),
+    ):
+        """``partition`` names keys that split the table into folders; reading one of their values skips the others."""
         self.spark, self.path, self.keys, self.schema = spark, path, list(keys), schema
+        self.partition = list(partition)
         if fresh:
             backup(spark, path)
 
     def read(self) -> DataFrame:
         if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.fieldNames())
 
     def pending(self, tasks: DataFrame) -> DataFrame:
         """Tasks that have no row yet."""
@@ -36,7 +41,7 @@ class KeyedTable:
         fresh = pending(rows.select(*names), self.read(), self.keys)
         rest = [F.col(c) for c in names if c not in self.keys]
         unique = first_per_key(fresh, self.keys, rest).select(*names) if rest else fresh.distinct()
-        unique.write.mode("append").parquet(self.path)
+        unique.write.mode("append").partitionBy(*self.partition).parquet(self.path)
 
 
 def follow(rows: DataFrame, table: KeyedTable, checkpoint: str) -> int:

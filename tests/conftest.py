@@ -5,6 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
+# Python workers import the package as well.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [*sys.path[:2], os.environ.get("PYTHONPATH")]))
 
 from tallysmith.session import build_session  # noqa: E402
 
@@ -12,8 +14,12 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    settings = {
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+    }
+    session = build_session("local[4]", **settings)
     yield session
     session.stop()
 
