@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysmith.llm.hashing import batches
-from tallysmith.llm.shared import held_out
+from tallysmith.llm.shared import held_out, small_batches
 
 #: Training text: at most so many documents of a language, so many characters of each, and, over all
 #: languages, so many characters together.
@@ -171,6 +171,7 @@ def identify(
     held out.  Memory: one batch of text and the automata, which ``ALL_CHARS`` bounds.
     """
     names, learned = tuple(training), tuple(training.values())
+    small_batches(docs.sparkSession)
 
     def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         parser = _parser(names, learned)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysmith.llm.hashing import batches
-from tallysmith.llm.shared import held_out, measured
+from tallysmith.llm.shared import held_out, measured, small_batches
 from tallysmith.operators.common import checkpointed
 
 #: A featurizer gives (document, feature) arrays, without repeats, for a list of texts.
@@ -66,6 +66,8 @@ def train(sample: DataFrame, features: Featurizer, dims: int, norm: bool, fit: C
     A shard is one task of about ``SHARD_ROWS`` documents; the sum of the weights is at most ``dims`` rows.
     """
 
+    small_batches(sample.sparkSession)
+
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         doc, feature = features(frame["text"].tolist())
         ends = np.searchsorted(doc, np.arange(len(frame) + 1))
@@ -119,6 +121,7 @@ def score_column(
 ) -> DataFrame:
     """All rows and columns of ``docs``, and ``name``: whole texts, no shuffle. NULL counts as the empty text."""
     live = model.weights != 0
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysmith.llm import linear
 from tallysmith.llm.hashing import U64, batches, chained, joined, scramble, span_hashes, spans
-from tallysmith.llm.shared import fresh
+from tallysmith.llm.shared import fresh, small_batches
 
 DIM_BITS = 18
 LEAST = 0.3
@@ -68,6 +68,8 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
 def log_count_ratios(sample: DataFrame) -> np.ndarray:
     """log of the smoothed, normalised counts of each feature in good over bad documents of the whole sample."""
 
+    small_batches(sample.sparkSession)
+
     def counted(frames):
         good, bad = np.zeros(1 << DIM_BITS), np.zeros(1 << DIM_BITS)
         for frame in frames:

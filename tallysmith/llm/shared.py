@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysmith.functions.numbers import as_column
@@ -11,6 +13,8 @@ from tallysmith.operators.common import checkpointed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but ASCII digits, ASCII lower-case letters and non-ASCII characters separates words.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,6 +38,19 @@ def held_out(key: Column | str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(key, modulus) == rest, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand whole texts to Python in small Arrow batches; smaller settings of the session stay.
+
+    The usual batch of ten thousand rows takes several hundred megabytes of a worker where texts are long.
+    """
+    conf = spark.conf
+    if int(conf.get(BATCH_ROWS[0])) > BATCH_ROWS[1]:
+        conf.set(*map(str, BATCH_ROWS))
+    given = re.match(r"(-?\d+)b?$", conf.get(BATCH_BYTES[0]))
+    if given and not 0 < int(given[1]) <= BATCH_BYTES[1]:
+        conf.set(*map(str, BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that the table does not have."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysmith.llm.components import connected_components
-from tallysmith.llm.shared import measured
+from tallysmith.llm.shared import measured, small_batches
 from tallysmith.operators.common import checkpointed
 
 BITS = 64
@@ -57,6 +57,8 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row; repeated rows and NULL keys stay as they are. No shuffle."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def printed(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((simhash(t, shingle) for t in texts), dtype=np.int64, count=len(texts)))

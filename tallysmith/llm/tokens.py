@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallysmith.llm.shared import small_batches
+
 #: The vocabulary is a file of base64 tokens and ranks; pass another path where it lives elsewhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary. It never looks behind, and ahead by no
@@ -175,6 +177,7 @@ def count_tokens(
     empty texts have no tokens.  Rows are independent: repeated ones repeat, and nothing is shuffled.  The
     vocabulary (about a megabyte) travels with the function.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         raw = file.read()
     kind = "array<struct<start:int,length:int,replacement:string>>"

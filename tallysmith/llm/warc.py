@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallysmith.llm.shared import small_batches
+
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
 #: Bytes of a record's block and of a chunk in it, and records in a file at most.
@@ -111,6 +113,7 @@ def write_archives(plan: DataFrame, path: str, segment: int = SEGMENT, per_file:
                     out, size = [], 0
             yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
 
+    small_batches(plan.sparkSession)
     columns = ["page_id", "url", "type", "digest", "id", "refers", "html"]
     bodies = plan.select(*columns).mapInPandas(rendered, "value binary").select(F.col("value").cast("string"))
     writer = bodies.write.option("lineSep", END.decode()).option("compression", "gzip")
@@ -189,6 +192,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         out = pd.DataFrame(rows, columns=names, dtype=object)
         return out.astype({"number": "Int32", "total": "Int64", "page_id": "Int64"})
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(parsed, _READ)
 
