@@ -15,7 +15,7 @@ RUN = 2
 LONG = 50
 
 
-def _selected(hashes: Column, long_lines: Column, run: int) -> Column:
+def _selected(hashes: Column, big: Column, run: int) -> Column:
     """1-based positions of the fingerprints: minima of all windows of ``run`` lines, and long lines."""
 
     def choose(h: Column) -> Column:
@@ -30,7 +30,8 @@ def _selected(hashes: Column, long_lines: Column, run: int) -> Column:
                 places, lambda i: F.array_contains(F.slice(m, lowest(i), i - lowest(i) + 1), F.element_at(h, i))
             )
 
-        return F.array_union(bind(minima, pick), long_lines)
+        every = F.sequence(F.lit(1), count)
+        return F.array_union(bind(minima, pick), F.filter(every, lambda i: F.element_at(big, i)))
 
     return bind(hashes, choose)
 
@@ -38,9 +39,9 @@ def _selected(hashes: Column, long_lines: Column, run: int) -> Column:
 def repeated_runs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, long: int = LONG
 ) -> DataFrame:
-    """(doc_key, start, size): runs of lines to delete because they occurred before.
+    """(_id, doc_key, start, size): runs of lines to delete because they occurred before.
 
-    doc_key stands for (key, text); see ``dedupe_lines``.  Steps: the least line hash of every window of
+    _id is the key and doc_key stands for key and text; see ``dedupe_lines``.  Steps: the least line hash of every window of
     ``run`` lines is a fingerprint, so any two equal runs share one; fingerprints that occur more than once
     are joined to their positions; every run of ``run`` lines through such a position (the match, extended
     both ways) is compared by its own 128-bit key with the first such run of the corpus in the order of
@@ -49,25 +50,26 @@ def repeated_runs(
     line = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n")
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     rows = rows.select("_id", F.xxhash64("_id", "_text").alias("doc_key"), line.alias("_lines"))
-    numbered = F.transform(
-        "_lines", lambda x, i: F.when(F.regexp_count(x, F.lit(SPACE_WORD)) >= long, i + 1)
-    )
     rows = rows.select(
         "_id", "doc_key",
         F.transform("_lines", lambda x: F.xxhash64(x)).alias("_h"),
         F.transform("_lines", lambda x: F.xxhash64(F.lit(1), x)).alias("_g"),
-        F.filter(numbered, lambda i: i.isNotNull()).alias("_long"),
+        F.transform("_lines", lambda x: F.regexp_count(x, F.lit(SPACE_WORD)) >= long).alias("_big"),
     )
-    marks = rows.select("*", F.explode(_selected(F.col("_h"), F.col("_long"), run)).alias("_pos"))
-    low = F.greatest(F.lit(1), F.col("_pos") - run + 1)
-    span = F.least(F.size("_h"), F.col("_pos") + run - 1) - low + 1
-    marks = checkpointed(
-        marks.select(
-            "_id", "doc_key", "_pos", low.alias("_low"), F.element_at("_h", F.col("_pos")).alias("_mark"),
+
+    def mark(at: Column) -> Column:
+        """A fingerprint with the lines around it that a run through it can have."""
+        low = F.greatest(F.lit(1), at - run + 1)
+        span = F.least(F.size("_h"), at + run - 1) - low + 1
+        return F.struct(
+            at.alias("_pos"), low.alias("_low"), F.element_at("_h", at).alias("_mark"),
             F.slice("_h", low, span).alias("_h"), F.slice("_g", low, span).alias("_g"),
-            F.array_contains("_long", F.col("_pos")).alias("_long"),
+            F.element_at("_big", at).alias("_long"),
         )
-    )
+
+    # Marks are cut out before they are exploded: a row never carries the lines of its whole text.
+    found = F.explode(F.transform(_selected(F.col("_h"), F.col("_big"), run), mark)).alias("m")
+    marks = checkpointed(rows.select("_id", "doc_key", found).select("_id", "doc_key", "m.*"))
     often = marks.groupBy("_mark").agg(F.count("*").alias("_n")).filter("_n > 1").select("_mark")
     met = marks.join(often, "_mark", "left_semi")
 
@@ -94,7 +96,7 @@ def repeated_runs(
     place = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("doc_key").alias("c"), F.col("start").alias("d"))
     first = runs.groupBy("size", "k1", "k2").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
     later = runs.join(first.filter("_n > 1"), ["size", "k1", "k2"]).filter(place > F.col("_first"))
-    return later.select("doc_key", "start", "size")
+    return later.select("_id", "doc_key", "start", "size")
 
 
 def dedupe_lines(
@@ -109,17 +111,17 @@ def dedupe_lines(
     are.  A document whose lines all go keeps its row with an empty text; NULL texts stay NULL with no lines;
     NULL keys come last.  Rows that repeat both key and text count as one document and get one result.
     """
-    own, other, dropped = fresh(docs, "_key"), fresh(docs, "_doc_key"), fresh(docs, "_gone")
+    own, other, dropped, same = (fresh(docs, c) for c in ("_key", "_doc_key", "_gone", "_same_id"))
     base = docs.withColumn(own, F.xxhash64(F.col(key), F.col(text)))
     gone = repeated_runs(docs, key, text, run, long)
-    gone = gone.groupBy("doc_key").agg(F.collect_set(F.struct("start", "size")).alias("_runs"))
+    gone = gone.groupBy("_id", "doc_key").agg(F.collect_set(F.struct("start", "size")).alias("_runs"))
     gone = gone.select(
-        F.col("doc_key").alias(other),
+        F.col("_id").alias(same), F.col("doc_key").alias(other),
         F.array_distinct(
             F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
         ).alias(dropped),
     )
-    joined = base.join(gone, base[own] == gone[other], "left")
+    joined = base.join(gone, (base[own] == gone[other]) & base[key].eqNullSafe(gone[same]), "left")
     lines = F.split(F.col(text), "\n")
     left = bind(
         lines,

@@ -81,7 +81,9 @@ def similar_sets(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id"
     rows = docs.select(F.col(key).alias("doc_id"), signatures(text).alias("sigs"))
     rows = checkpointed(rows.withColumn("fingerprint", fingerprint("sigs")))
     sets = checkpointed(rows.groupBy("fingerprint").agg(F.first("sigs").alias("sigs")))
-    each = sets.select("fingerprint", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    # The size first, so that an exploded row does not carry the whole set.
+    each = sets.select("fingerprint", F.size("sigs").alias("n"), "sigs")
+    each = each.select("fingerprint", "n", F.explode("sigs").alias("sig"))
     common = each.groupBy("sig").agg(F.count("*").alias("_df"))
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("_df", "sig"))
     needed = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
