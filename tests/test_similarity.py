@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from brute import accept, dedupe, ratio, tokens
 from tallysmith.functions.text import token_set
 from tallysmith.operators import generation, similarity
+from tallysmith.operators.common import number_rows
 
 WORDS = ("neutron neutrons proton electron football foot ball energy transfer transfers heat light lights cells cell "
          "gene what is a the").split()
@@ -87,3 +88,28 @@ def test_generation_rounds_redistribute(spark):
     assert reasons == {"duplicate", "llm_inappropriate"}
     slots = {r.standard: (r.target, r.have, r.capped) for r in result.slots.collect()}
     assert slots == {"s1": (1, 1, True), "s2": (5, 5, False)}
+
+
+def test_a_word_in_a_third_of_the_rows(spark):
+    """A common word without near copies: the front stays bounded and nothing is dropped wrongly."""
+    rng = random.Random(11)
+    letters = "bcdfghjklmnpqrstvwz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(7))
+    rows = [(i, "A", f"{'energy ' if i % 3 == 0 else ''}{word()} {word()} {word()}") for i in range(300)]
+    rows += [(1000 + i, "A", rows[i][2]) for i in range(0, 300, 50)]
+    df = spark.createDataFrame(rows, "position long, area string, question string")
+    got = {r.position: r.kept for r in similarity.greedy_dedupe(df, front_size=8).collect()}
+    assert got == dedupe(rows, 88.0) and sum(got.values()) == 300
+
+
+@pytest.mark.parametrize("hot, width", [(1 << 20, 1 << 20), (3, 4), (0, 1)])
+def test_every_row_is_numbered(spark, hot, width):
+    rng = random.Random(hot + width)
+    rows = [(rng.choice("abc") if i % 3 else "hot", rng.randint(-20, 60), i) for i in range(200)] + [(None, 5, 900), (None, 1, 901)]
+    df = spark.createDataFrame(rows, "k string, a long, b long")
+    got = {r.b: r.n for r in number_rows(df, ["k"], ["a", "b"], "n", hot, width).collect()}
+    want = {}
+    for k in ("a", "b", "c", "hot"):
+        for n, (_, _, b) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]), 1):
+            want[b] = n
+    assert {b: n for b, n in got.items() if b < 900} == want and len(got) == len(rows)
