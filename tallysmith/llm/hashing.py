@@ -64,7 +64,7 @@ def joined(texts) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(raw) else np.zeros(0, dtype=np.int64)
 
 
-def batches(texts, most: int = 1 << 22):
+def batches(texts, most: int = 1 << 21):
     """Index ranges of the texts with about ``most`` characters each."""
     start, size = 0, 0
     for i, text in enumerate(texts):

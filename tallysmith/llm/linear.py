@@ -69,9 +69,16 @@ def train(sample: DataFrame, features: Featurizer, dims: int, norm: bool, fit: C
     small_batches(sample.sparkSession)
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, feature = features(frame["text"].tolist())
-        ends = np.searchsorted(doc, np.arange(len(frame) + 1))
-        w = fit(frame["y"].to_numpy(dtype=np.int64), ends, feature)
+        texts, y = frame["text"].tolist(), frame["y"].to_numpy(dtype=np.int64)
+        del frame
+        sizes, parts = [], [np.zeros(0, dtype=np.int32)]
+        for a, b in batches(texts):
+            doc, feature = features(texts[a:b])
+            sizes.append(np.bincount(doc, minlength=b - a))
+            parts.append(feature.astype(np.int32))
+        del texts
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        w = fit(y, ends, np.concatenate(parts))
         used = np.flatnonzero(w)
         return pd.DataFrame({"feature": used.astype(np.int64), "w": w[used].astype(np.float64)})
 
