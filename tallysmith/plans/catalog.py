@@ -83,23 +83,23 @@ def teacher_overall(spark, sf):
 
 @query
 def teacher_by_area(spark, sf):
-    return ensemble.ranking_by_area(facts.trials(spark, sf), facts.areas(spark, sf))
+    return ensemble.ranking_by_area(facts.votes(spark, sf), facts.areas(spark, sf))
 
 
 @query
 def teacher_by_standard(spark, sf):
-    return ensemble.ranking_by_standard(facts.trials(spark, sf), facts.standards(spark, sf))
+    return ensemble.ranking_by_standard(facts.votes(spark, sf), facts.standards(spark, sf))
 
 
 @query
 def best_by_area(spark, sf):
-    ranked = ensemble.ranking_by_area(facts.trials(spark, sf), facts.areas(spark, sf))
+    ranked = ensemble.ranking_by_area(facts.votes(spark, sf), facts.areas(spark, sf))
     return ensemble.best_pick(ranked, "area", ["area_title"])
 
 
 @query
 def best_by_standard(spark, sf):
-    ranked = ensemble.ranking_by_standard(facts.trials(spark, sf), facts.standards(spark, sf))
+    ranked = ensemble.ranking_by_standard(facts.votes(spark, sf), facts.standards(spark, sf))
     return ensemble.best_pick(ranked, "standard", ["standard_text", "area"])
 
 
@@ -111,25 +111,25 @@ def best_by_type(spark, sf):
 
 @query
 def single_ens_by_type_pivot(spark, sf):
-    scores = ensemble.first_run_and_ensemble(facts.trials(spark, sf), ["question_type"])
+    scores = ensemble.first_run_and_ensemble(facts.votes(spark, sf), ["question_type"])
     return ensemble.single_ensemble_pivot(scores, "question_type", ensemble.QUESTION_TYPES)
 
 
 @query
 def standard_detail(spark, sf):
-    scores = ensemble.first_run_and_ensemble(facts.trials(spark, sf), ["standard", "question_type"])
+    scores = ensemble.first_run_and_ensemble(facts.votes(spark, sf), ["standard", "question_type"])
     return ensemble.single_ensemble_pivot(scores, "question_type", ensemble.QUESTION_TYPES, ["standard"])
 
 
 @query
 def type_area_detail(spark, sf):
-    scores = ensemble.first_run_and_ensemble(facts.trials(spark, sf), ["question_type", "area"])
+    scores = ensemble.first_run_and_ensemble(facts.votes(spark, sf), ["question_type", "area"])
     return ensemble.single_ensemble_pivot(scores, "area", facts.area_names(spark, sf), ["question_type"])
 
 
 @query
 def ensemble_area_matrix(spark, sf):
-    scores = ensemble.first_run_and_ensemble(facts.trials(spark, sf), ["area"])
+    scores = ensemble.first_run_and_ensemble(facts.votes(spark, sf), ["area"])
     return ensemble.ensemble_matrix(scores, "area", facts.area_names(spark, sf))
 
 
@@ -174,7 +174,7 @@ def mcnemar_counts(spark, sf):
 @query
 def mcnemar_exact(spark, sf):
     """Test of every model pair within every standard, exact where few questions differ."""
-    counts = significance.mcnemar_counts(facts.trials(spark, sf), ["standard"])
+    counts = significance.mcnemar_counts(facts.votes(spark, sf), ["standard"])
     p = round_to(mcnemar("discordant_b", "discordant_c"), 9).alias("p_value")
     return counts.select("standard", "model_a", "model_b", "discordant_b", "discordant_c", p)
 
@@ -187,7 +187,7 @@ def holm_adjust(spark, sf):
 
 
 def _significance(spark, sf):
-    return _rounded_tests(significance.significance(facts.trials(spark, sf)))
+    return _rounded_tests(significance.significance(facts.votes(spark, sf)))
 
 
 QUERIES["significance"] = _significance
@@ -195,13 +195,13 @@ QUERIES["significance"] = _significance
 
 @query
 def win_matrix(spark, sf):
-    tests = checkpointed(significance.significance(facts.trials(spark, sf)))
+    tests = checkpointed(significance.significance(facts.votes(spark, sf)))
     return significance.win_matrix(tests, facts.MODELS)
 
 
 @query
 def win_counts(spark, sf):
-    return significance.win_counts(checkpointed(significance.significance(facts.trials(spark, sf))))
+    return significance.win_counts(checkpointed(significance.significance(facts.votes(spark, sf))))
 
 
 # --- judge panel ----------------------------------------------------------------------------------------

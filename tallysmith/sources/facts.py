@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysmith.operators.common import number_rows, spread
+from tallysmith.operators.ensemble import VOTE_KEYS
 from tallysmith.operators.panel import judge_tasks
 
 MODELS = [f"model_{i}" for i in range(5)]
 PANEL_JUDGES = ["a", "b", "c"]
 EVAL_JUDGES = ["j0", "j1", "j2"]
 
+RUN_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate"]
+
 TRIAL_COLUMNS = [
     "model", "question_id", "run", "area", "standard", "question_type", "binary_score", "rubric_score", "is_refusal",
 ]
@@ -28,9 +31,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as answers: those of one (model, part) are the runs of a question, all of them."""
-    order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate"]
     lines = table(spark, folder, "lineitem").withColumn("mid", F.col("l_suppkey") % 5)
-    lines = number_rows(lines, ["l_partkey", "mid"], order, "run")
+    return _named(number_rows(lines, ["l_partkey", "mid"], RUN_ORDER, "run"), spark, folder)
+
+
+def _named(lines: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of (l_partkey, mid, ...) with the question's area, standard and type, and the names of both."""
     kind = F.col("p_size") % 3
     part = table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -45,6 +51,26 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def votes(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of ``ensemble.votes`` straight from the line items.
+
+    One aggregation by part and model, whose rows are combined before the shuffle; names are added to its few
+    rows afterwards, so no line item is numbered, joined or shuffled again.
+    """
+    lines = table(spark, folder, "lineitem").withColumn("mid", F.col("l_suppkey") % 5)
+    score = _score()
+    first = F.min_by(score, F.struct(*RUN_ORDER)).cast("bigint")
+    counted = lines.groupBy("l_partkey", "mid").agg(
+        first.alias("first_sum"), F.lit(1).cast("bigint").alias("first_n"), (F.avg(score) >= 0.5).cast("int").alias("vote")
+    )
+    return _named(counted, spark, folder).select(*VOTE_KEYS, "first_sum", "first_n", "vote")
+
+
+def _score() -> Column:
+    right = F.col("l_quantity") > 4 + 4 * F.col("mid")
+    return F.when(F.col("l_discount") == 0, 0).otherwise(right.cast("int"))
+
+
 def _with_scores(answers: DataFrame) -> DataFrame:
     refusal = F.col("l_discount") == 0
     rubric = (
@@ -53,10 +79,9 @@ def _with_scores(answers: DataFrame) -> DataFrame:
         .when(F.col("l_returnflag") == "N", 0.5)
         .otherwise(1.0)
     )
-    right = F.col("l_quantity") > 4 + 4 * F.col("mid")
     return answers.withColumns(
         {
-            "binary_score": F.when(refusal, 0).otherwise(right.cast("int")),
+            "binary_score": _score(),
             "rubric_score": rubric,
             "is_refusal": refusal.cast("int"),
         }
