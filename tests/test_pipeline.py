@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallysmith import __main__ as command
 from tallysmith.operators import accuracy, agreement, ensemble, overrides, panel, quota
 from tallysmith.operators.asking import Reply, Transient, ask, shares
 from tallysmith.plans import stages
@@ -201,6 +202,16 @@ def test_labels_come_back(ws, tmp_path):
     assert raw[question] == "New words?" and gone in raw and gone not in kept and question in kept
 
 
+def test_command_line(capsys):
+    command.main(["--list"])
+    lines = capsys.readouterr().out.splitlines()
+    assert [line.split()[0] for line in lines] == list(stages.REGISTRY) and "groundtruth" in lines[0]
+    with pytest.raises(SystemExit):
+        command.main(["folder"])
+    with pytest.raises(ValueError):
+        command.main(["folder", "--settings", "s", "--tree", "t", "--stage", "nothing"])
+
+
 def test_stage_names():
     def names(request):
         return [s.work.__name__ for s in stages.plan(request)]
