@@ -29,8 +29,8 @@ _RUNS = r"\S++"
 _RUNS_WITHOUT_LETTERS = rf"{_START}[^\s\p{{L}}\p{{N}}_]++{_END}"
 _RUNS_WITHOUT_VOWEL = rf"{_START}[^\s{VOWELS}]++{_END}"
 _VOWEL_GROUPS = rf"[{VOWELS}]++"
-_FINAL_E = rf"[^{VOWELS}l\s]e[^\p{{L}}\s]*+{_END}"
-_ONLY_FINAL_E = rf"{_START}[^\s{VOWELS}]*[^{VOWELS}l\s]e[^\p{{L}}\s]*+{_END}"
+_FINAL_E = rf"(?<=[^{VOWELS}l\s])e[^\p{{L}}\s]*+{_END}"
+_ONLY_FINAL_E = rf"(?:\A|\s)[^\s{VOWELS}]++(?<!l)e[^\p{{L}}\s]*+{_END}"
 
 
 def normal_tokens(text: Column | str) -> Column:
