@@ -196,10 +196,12 @@ def _keys(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     rows = []
     for part, (bits, threshold) in enumerate(plan):
         own = _masked("fp", bits)
-        masks = [0] + [_signed(sum(1 << b for b in c)) for n in range(1, threshold + 1) for c in combinations(bits, n)]
-        found = prints.select("fp", F.explode(F.array(*map(F.lit, masks)).cast("array<bigint>")).alias("mask"))
-        lowest = F.col("mask").bitwiseAND(-F.col("mask"))
-        found = found.filter((F.col("mask") == 0) | (F.col("fp").bitwiseAND(lowest) != 0))
+        chosen = [(), *(c for n in range(1, threshold + 1) for c in combinations(bits, n))]
+        # The lowest bit comes along: -mask would overflow for a mask of bit 63 alone.
+        masks = [(_signed(sum(1 << b for b in c)), _signed(1 << min(c)) if c else 0) for c in chosen]
+        masks = F.array(*[F.struct(F.lit(m).cast("bigint").alias("mask"), F.lit(b).cast("bigint").alias("lowest")) for m, b in masks])
+        found = prints.select("fp", F.explode(masks).alias("m")).select("fp", "m.*")
+        found = found.filter((F.col("mask") == 0) | (F.col("fp").bitwiseAND(F.col("lowest")) != 0))
         key = own.bitwiseXOR(F.col("mask")).alias("key")
         rows.append(found.select(F.lit(part).alias("part"), key, "fp", (F.col("mask") != 0).alias("probe")))
     out = rows[0]

@@ -106,6 +106,17 @@ def test_near_links_connect_exactly_the_close(spark, distance, block):
     assert roots(links) == roots(close)
 
 
+@pytest.mark.parametrize("plan", [[(list(range(32)), 0), (list(range(32, 64)), 1)], [(list(range(48, 64)), 2)]])
+def test_probes_of_a_part_with_the_highest_bit(spark, monkeypatch, plan):
+    """A thresholded part that holds bit 63, as the plan of very large tables has."""
+    fps = [0, -(1 << 63), 5, 5 - (1 << 63), 1 << 62, -1, (1 << 63) - 1]
+    prints = spark.createDataFrame([(f,) for f in fps], "fp long")
+    monkeypatch.setattr(simhash, "search_plan", lambda *_: plan)
+    links = [(r.u, r.v) for r in simhash.near_links(prints, 1).collect()]
+    close = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 1]
+    assert len(close) == 4 and roots(links) == roots(close)
+
+
 def test_search_plan_is_a_cover(spark):
     rng = random.Random(3)
     fps = [(rng.getrandbits(40) | (rng.getrandbits(1) * 0xFFFF) << 40,) for _ in range(300)]  # correlated high bits
