@@ -109,7 +109,7 @@ def op7_mixing(spark, sf):
 def op8_warc(spark, sf):
     """Every page written to WARC archives and read back."""
     path = f"{scratch_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    warc.write_archives(warc.planned(table(spark, sf, "pages")), path)
+    warc.write_archives(warc.planned(table(spark, sf, "pages"), repeats=True), path)
     found = warc.reassembled(warc.read_records(spark, path))
     return warc.resolve(checkpointed(warc.digests(found)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysmith.llm.shared import small_batches
+from tallysmith.operators.common import checkpointed
 
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
@@ -25,20 +26,28 @@ END = b"\r\n\r\n"
 
 # --- writing --------------------------------------------------------------------------------------------------
 
-def planned(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def planned(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", repeats: bool = False
+) -> DataFrame:
     """(page_id, url, html, digest, type, id, refers, refers_to): what to write for every row of ``pages``.
 
     Of equal payloads of ``LEAST_SHARED`` bytes or more the one with the smallest page_id is the response, the
     others revisit it; smaller ones are all responses.  NULL html is the empty payload; a NULL page_id comes
-    last.  Record ids hash page_id, url and payload, so rows that repeat all three are the same record.
+    last.  Record ids hash page_id, url and payload, so rows that repeat all three are the same record, unless
+    ``repeats`` is set: then rows are written first with a number, which the ids hash as well, so every row is
+    a record of its own and further equal rows revisit the first.
     Only digests and ids are grouped; a payload that very many pages share is one row of the joined side.
     """
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")
     )
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    name = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "digest"))
-    rows = rows.withColumn("id", name)
+    parts = [F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "digest"]
+    if repeats:
+        # Written, for the number of a row must be the same on both sides of the join below.
+        rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
+        parts.append(F.col("_row").cast("string"))
+    rows = rows.withColumn("id", F.md5(F.concat_ws("|", *parts)))
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "id")
     shared = rows.filter(F.octet_length("html") >= LEAST_SHARED)
     first = shared.groupBy("digest").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")

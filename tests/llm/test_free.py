@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from conftest_llm import messy_rows
 from tallysmith.llm import components, hashing, langid, linear, quality, simhash, tokens, toxicity, warc
+from tallysmith.llm.catalog import QUERIES
 
 
 # --- components and SimHash ---------------------------------------------------------------------------------
@@ -311,6 +312,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(texts[p] == (h or "") for p, u, h in rows if p in texts and p is not None)
 
 
+def test_warc_has_a_record_per_row(spark, tmp_path):
+    """Repeated rows, with and without a key, come back as often as they were there."""
+    long = "y" * 200
+    rows = [(1, "u", long)] * 3 + [(None, "u", long)] * 2 + [(2, "v", "short")] * 2 + [(None, None, None)] * 2 + [(0, "w", "z" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op8_warc"](spark, str(tmp_path)).collect())
+    assert got == Counter({
+        (1, 200, "response", None): 1, (1, 200, "revisit", 1): 2, (None, 200, "revisit", 1): 2,
+        (2, 5, "response", None): 2, (None, 0, "response", None): 2, (0, 300, "response", None): 1,
+    })
+
+
 def test_warc_faults(spark):
     whole = warc.chunked(b"abc" * 10, 7)
     assert warc.dechunk(whole) == b"abc" * 10 and warc.dechunk(warc.chunked(b"")) == b""
