@@ -157,8 +157,13 @@ def contamination(
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated. A NULL key is judged like any other:
-    contaminated rows with a NULL key go, with all rows of a NULL key."""
-    bad = contamination(docs, items, size, share, key, text).filter("contaminated")
-    bad, _ = measured(bad.select(F.col("doc_id").alias("_bad")).distinct(), DOC_ROWS)
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    A verdict follows from the text alone, so it goes back to the rows by a 128-bit key of the text: rows that
+    share a key, or have none, are judged each by its own text.
+    """
+    first, second = (F.xxhash64(F.lit(n), F.col(text)) for n in (0, 1))
+    own = docs.withColumn(key, F.struct(first.alias("a"), second.alias("b")))
+    bad = contamination(own, items, size, share, key, text).filter("contaminated").select("doc_id.*")
+    bad, _ = measured(bad.select(F.col("a").alias("_bad_a"), F.col("b").alias("_bad_b")).distinct(), DOC_ROWS)
+    return docs.join(bad, (first == bad["_bad_a"]) & (second == bad["_bad_b"]), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysmith.llm.components import connected_components
-from tallysmith.llm.shared import measured, small_batches
+from tallysmith.llm.shared import fresh, measured, small_batches
 from tallysmith.operators.common import checkpointed
 
 BITS = 64
@@ -56,14 +56,16 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row; repeated rows and NULL keys stay as they are. No shuffle."""
-
     small_batches(docs.sparkSession)
+    return docs.select(F.col(key).alias("doc_id"), _printed(shingle)(F.col(text)).alias("fp"))
+
 
+def _printed(shingle: int):
     @F.pandas_udf("long")
     def printed(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((simhash(t, shingle) for t in texts), dtype=np.int64, count=len(texts)))
 
-    return docs.select(F.col(key).alias("doc_id"), printed(F.col(text)).alias("fp"))
+    return printed
 
 
 # --- plan of the search -----------------------------------------------------------------------------------
@@ -329,9 +331,13 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose key names its near-duplicate group; rows of a NULL key stay.
 
-    Repeated rows share a key and stay together.  The ids that go are broadcast only if counted to be few.
+    Repeated rows share a key and stay together.  Rows that share a key only are told apart by their
+    fingerprints.  The rows that go are broadcast only if counted to be few.  ``nearcopies.keep_one`` leaves one
+    row of each group, whatever the keys.
     """
     groups = near_duplicate_groups(docs, key, text, shingle, distance)
-    gone = groups.filter("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    gone, _ = measured(gone.distinct(), ID_ROWS)
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = groups.filter("doc_id is not null and component_id < doc_id")
+    gone, _ = measured(gone.select(F.col("doc_id").alias("_gone"), F.col("fingerprint").alias("_print")).distinct(), ID_ROWS)
+    own = fresh(docs, "_fp")
+    marked = docs.withColumn(own, F.lower(F.lpad(F.hex(_printed(shingle)(F.col(text))), 16, "0")))
+    return marked.join(gone, (marked[key] == gone["_gone"]) & (marked[own] == gone["_print"]), "left_anti").drop(own)

@@ -86,6 +86,13 @@ def test_simhash_of_messy_rows(messy):
     assert Counter(r.doc_id for r in kept.collect()) == want and kept.columns == messy.columns
 
 
+def test_rows_that_share_a_key_go_one_by_one(spark):
+    a, b = "one two three four five six", "seven stones lie beside the long river"
+    rows = [(7, a), (3, a), (7, b), (9, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {(3, a), (7, b)}
+
+
 def test_simhash_of_an_empty_table(empty):
     assert simhash.near_duplicate_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 

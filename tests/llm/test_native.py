@@ -110,6 +110,15 @@ def test_contamination(spark, messy, size):
     assert by_row(kept.filter("doc_id is not null").select("doc_id", "text").collect()) == clean
 
 
+def test_contaminated_rows_go_one_by_one(spark):
+    """Rows that share a key, or have none, are judged each by its own text."""
+    items = spark.createDataFrame([(1, "stone light paper")], "item_id long, text string")
+    bad, good = "stone light paper here", "nothing of that kind"
+    rows = [(None, bad), (None, good), (None, None), (7, bad), (7, good), (7, good), (8, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(decontam.drop_contaminated(docs, items).collect()) == by_row([r for r in rows if r[1] != bad])
+
+
 def test_contamination_of_empty_tables(spark, messy, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(empty, none).count() == 0
