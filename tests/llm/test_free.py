@@ -13,8 +13,9 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from conftest_llm import messy_rows
-from tallysmith.llm import components, hashing, langid, linear, quality, simhash, tokens, toxicity, warc
+from tallysmith.llm import components, hashing, langid, linear, nearcopies, quality, simhash, tokens, toxicity, warc
 from tallysmith.llm.catalog import QUERIES
 
 
@@ -93,6 +94,36 @@ def test_rows_that_share_a_key_go_one_by_one(spark):
     assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {(3, a), (7, b)}
 
 
+def test_near_copies_by_likeness(spark, empty):
+    """One row of each group stays: far fingerprints, NULL and repeated keys, a large group, texts that only come close."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(7, "a b c d e f"), (3, "A b c\nd e f"), (7, "seven stones lie beside the long river"), (9, "seven stones lie beside the long river")]
+    rows += [(None, "no key here at all"), (None, "no key here at all"), (None, "another row without any key"), (50, None), (51, " ")]
+    for g in range(12):
+        base = [word() for _ in range(200)]
+        for c in range(40 if g == 0 else 3):
+            new = list(base)
+            for _ in range(rng.randint(1, 6)):
+                new[rng.randrange(200)] = word()
+            rows.append((100 * (g + 1) + c, " ".join(new)))
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [p for p in close if (plain_simhash(rows[p[0]][1]) ^ plain_simhash(rows[p[1]][1])).bit_count() > 3]
+    root, want = roots(close), {}
+    for i, r in enumerate(rows):
+        want.setdefault(root.get(i, i), []).append(r)
+    want = Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in want.values())
+    assert len(far) > 20 and any(len(sets[i] & sets[j]) for i in range(len(rows)) for j in range(i) if (i, j) not in set(close))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs.selectExpr("*", "'x' lang", "'y' source", "1L n_chars"), "")
+    assert Counter(r.doc_id for r in kept.collect()) == want
+    assert nearcopies.keep_one(empty).count() == 0
+
+
 def test_simhash_of_an_empty_table(empty):
     assert simhash.near_duplicate_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
