@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysmith.llm import decontam, langid, lines, mixing, oracles, quality, simhash, spotsigs, tokens, toxicity, warc
+from tallysmith.llm import (
+    centroids, decontam, divergence, langid, lines, mixing, neighbours, oracles, quality, simhash, spotsigs, tokens,
+    toxicity, warc,
+)
 from tallysmith.operators.common import checkpointed, scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +136,26 @@ def op10_simhash(spark, sf):
     return simhash.near_duplicate_groups(table(spark, sf, "documents"))
 
 
+@query
+def op11_neighbours(spark, sf):
+    """Ten nearest vectors of every vector whose id is divisible by 100, along Hilbert curves."""
+    return neighbours.nearest_rows(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_centroids(spark, sf):
+    """Cluster of every vector after ten rounds of exact integer k-means."""
+    return centroids.described(centroids.cluster_vectors(table(spark, sf, "embeddings")))
+
+
+@query
+def op13_divergence(spark, sf):
+    """How the sources of each language differ: from each other, and in their terms from the language."""
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 ORACLES["op3_line_dedup"] = oracles.LINES
 ORACLES["op4_decontamination"] = oracles.CONTAMINATION.replace("{docs}", "documents")
 ORACLES["op7_mixing"] = oracles.MIX
+ORACLES["op12_centroids"] = oracles.clusters()
+ORACLES["op13_divergence"] = oracles.DIVERGENCE

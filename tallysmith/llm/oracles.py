@@ -102,3 +102,89 @@ SELECT doc_id, source, size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, goal - before)) AS BIGINT) AS taken
 FROM r
 """
+
+
+def clusters(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, salt: str = "3") -> str:
+    """k-means in whole numbers, each round two or three common table expressions."""
+    gap = f"list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, {dims + 1})])"
+    head = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n,
+    [CAST(floor({scale}.0 * CAST(v AS DOUBLE)) AS BIGINT) for v in embedding] AS x
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{salt}:' || vec_id), x) - 1 AS cluster, x AS c
+  FROM kept QUALIFY cluster < {k}
+)"""
+    parts = [head]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT n, min(struct_pack(distance := CAST({gap} AS BIGINT), cluster := cluster)) AS best
+  FROM kept CROSS JOIN c{r} GROUP BY n
+)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS MATERIALIZED (
+  SELECT cluster, i, sum(v) AS s, count(*) AS m
+  FROM (SELECT a.best.cluster AS cluster, unnest(x) AS v, unnest(range({dims})) AS i FROM kept JOIN a{r} a USING (n))
+  GROUP BY cluster, i
+),
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(t.c, o.c) AS c
+  FROM c{r} o LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY cluster
+  ) t USING (cluster)
+)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM (SELECT vec_id, a.best.cluster AS cluster, a.best.distance AS distance FROM kept JOIN a{rounds} a USING (n))
+JOIN c{rounds} USING (cluster)
+"""
+
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+met AS (SELECT lang, source, unnest(w) AS term FROM docs),
+cell AS (SELECT lang, source, term, count(*) AS n FROM met GROUP BY ALL),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs)
+  GROUP BY lang, term HAVING count(*) >= 3
+),
+kinds AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k USING (lang) GROUP BY g.lang),
+own AS (SELECT c.* FROM cell c JOIN kept USING (lang, term)),
+size AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total FROM groups LEFT JOIN own USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + 1000000000 * (CAST(coalesce(n, 0) AS HUGEINT) + 1) // (total + v) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN kinds USING (lang) JOIN size USING (lang, source)
+    LEFT JOIN own USING (lang, source, term)
+),
+whole AS (
+  SELECT lang, term, 1 + 1000000000 * (CAST(s AS HUGEINT) + 1) // (sum(s) OVER (PARTITION BY lang) + v) AS q
+  FROM (SELECT lang, term, sum(n) AS s FROM own GROUP BY lang, term) JOIN kinds USING (lang)
+),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+rows_ AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_)
+WHERE part = 'pair' OR rank <= 200
+"""

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,12 +16,13 @@ from tallysmith.llm.catalog import ORACLES, QUERIES
 
 BRUTE = {
     "op1_toxicity", "op2_quality", "op5_language", "op6_spot_signatures", "op8_warc", "op9_token_counts", "op10_simhash",
+    "op11_neighbours",
 }
 
 
 def test_every_query_is_checked():
     assert set(QUERIES) == set(ORACLES) | BRUTE and not set(ORACLES) & BRUTE
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -106,6 +108,21 @@ def test_simhash(spark, small, texts):
         assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", groups[prints[r.doc_id]])
 
 
+def test_neighbours(spark, small):
+    table = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    found = {}
+    for r in QUERIES["op11_neighbours"](spark, small).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {v for v in table if v % 100 == 0}
+    hits = 0
+    for q, rows in found.items():
+        near = sorted((np.sqrt(((x - table[q]) ** 2).sum()), v) for v, x in table.items() if v != q)[:10]
+        assert [r for r, _, _ in sorted(rows)] == list(range(1, 11))
+        assert all(s == pytest.approx(np.sqrt(((table[v] - table[q]) ** 2).sum()), abs=1e-12) for _, v, s in rows)
+        hits += len({v for _, v in near} & {v for _, v, _ in rows})
+    assert hits >= 9 * len(found)
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
