@@ -32,13 +32,13 @@ def stored(spark, rows, path):
     return spark.read.parquet(f"{path}/documents.parquet")
 
 
-@pytest.mark.parametrize("groups, terms, front, held", [(64, 256, 1 << 20, 250_000), (2, 3, 5, 4)])
-def test_odd_tables(spark, messy, tmp_path, monkeypatch, groups, terms, front, held):
+@pytest.mark.parametrize("groups, terms, front, piece", [(64, 256, 1 << 20, 16 << 20), (2, 3, 5, 4)])
+def test_odd_tables(spark, messy, tmp_path, monkeypatch, groups, terms, front, piece):
     """NULLs, repeated rows, groups without terms, many small tiles."""
     monkeypatch.setattr(divergence, "TILE_GROUPS", groups)
     monkeypatch.setattr(divergence, "TILE_TERMS", terms)
     monkeypatch.setattr(divergence, "FRONT", front)
-    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "PIECE", piece)
     stored(spark, messy, str(tmp_path))
     assert difference(divergence.audit(messy), duck(str(tmp_path)), oracles.DIVERGENCE) is None
 
