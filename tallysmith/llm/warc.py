@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysmith.llm.shared import small_batches
+from tallysmith.llm.shared import measured, small_batches
 from tallysmith.operators.common import checkpointed
 
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
 #: Bytes of a record's block and of a chunk in it, and records in a file at most.
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 8_192, 1_000
+#: Most digests of shared payloads that are broadcast, about 200 bytes each; more are joined by shuffling.
+SHARED_DIGESTS = 200_000
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -33,32 +35,45 @@ def planned(
 
     Of equal payloads of ``LEAST_SHARED`` bytes or more the one with the smallest page_id is the response, the
     others revisit it; smaller ones are all responses.  NULL html is the empty payload; a NULL page_id comes
-    last.  Record ids hash page_id, url and payload, so rows that repeat all three are the same record, unless
-    ``repeats`` is set: then rows are written first with a number, which the ids hash as well, so every row is
-    a record of its own and further equal rows revisit the first.
-    Only digests and ids are grouped; a payload that very many pages share is one row of the joined side.
+    last.  Record ids hash page_id, url, payload and the number of the copy: with ``repeats`` rows that
+    repeat all three are records 1, 2, ... and further ones revisit the first, else they are one record.
+
+    Rows are counted by page_id, url and digest.  Payloads that occur once go straight from the table to the
+    record; of the others only one row with its payload is looked up, and revisits come from the counts.  So no
+    payload is shuffled, but for small ones and for digests too many to broadcast.
     """
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")
     )
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    parts = [F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "digest"]
-    if repeats:
-        # Written, for the number of a row must be the same on both sides of the join below.
-        rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
-        parts.append(F.col("_row").cast("string"))
-    rows = rows.withColumn("id", F.md5(F.concat_ws("|", *parts)))
-    order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "id")
-    shared = rows.filter(F.octet_length("html") >= LEAST_SHARED)
-    first = shared.groupBy("digest").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    first = first.select("digest", F.col("_first.page_id").alias("_page"), F.col("_first.id").alias("_id"))
-    joined = rows.join(first, "digest", "left")
-    again = F.coalesce(F.col("_id") != F.col("id"), F.lit(False))
-    return joined.select(
-        "page_id", "url", F.when(again, "revisit").otherwise("response").alias("type"), "digest", "id",
-        F.when(again, F.col("_id")).alias("refers"), F.when(again, F.col("_page")).alias("refers_to"),
-        F.when(~again, F.col("html")).alias("html"),
+    small = F.octet_length("html") < LEAST_SHARED
+    counted = rows.groupBy("page_id", "url", "digest", F.when(small, F.col("html")).alias("html")).agg(F.count("*").alias("n"))
+    counted = checkpointed(counted)
+    order = F.struct(F.col("page_id").isNull().alias("p"), "page_id", F.col("url").isNull().alias("u"), "url")
+    often = counted.filter("html IS NULL").groupBy("digest").agg(F.min(order).alias("_f"), F.sum("n").alias("_n"))
+    often = often.filter("_n > 1").select("digest", F.col("_f.page_id").alias("_page"), F.col("_f.url").alias("_url"))
+    often, _ = measured(often, SHARED_DIGESTS)
+    leads = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url"))
+    one = F.lit(1).cast("long")
+
+    once = rows.filter(~small).join(often.select("digest"), "digest", "left_anti").withColumn("copy", one)
+    first = rows.filter(~small).join(often, "digest").filter(leads).dropDuplicates(["digest"]).withColumn("copy", one)
+    copies = counted.withColumn("copy", F.explode(F.sequence(one, F.col("n") if repeats else one)))
+    again = copies.filter("html IS NULL").join(often, "digest").filter(~(leads & (F.col("copy") == 1)))
+    name = lambda page, link, copy: F.md5(
+        F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), link), F.lit("null")), "digest", copy.cast("string"))
     )
+    own = name(F.col("page_id"), F.col("url"), F.col("copy")).alias("id")
+    response = [
+        "page_id", "url", F.lit("response").alias("type"), "digest", own, F.lit(None).cast("string").alias("refers"),
+        F.lit(None).cast("long").alias("refers_to"), "html",
+    ]
+    revisit = [
+        "page_id", "url", F.lit("revisit").alias("type"), "digest", own,
+        name(F.col("_page"), F.col("_url"), one).alias("refers"), F.col("_page").alias("refers_to"), F.lit(None).cast("string").alias("html"),
+    ]
+    kinds = [once.select(*response), first.select(*response), copies.filter("html IS NOT NULL").select(*response)]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(again.select(*revisit))
 
 
 def _urn(name: str) -> str:
