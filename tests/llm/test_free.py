@@ -124,6 +124,36 @@ def test_near_copies_by_likeness(spark, empty):
     assert nearcopies.keep_one(empty).count() == 0
 
 
+def near_groups(texts):
+    """Least index of the group of every text, by likenesses of five-word shingles over all pairs that share one."""
+    sets, holders = [], {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^ \t-\r]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({" ".join(w[j : j + 5]) for j in range(max(len(w) - 4, 1))})
+        for x in sets[-1]:
+            holders.setdefault(x, []).append(i)
+    near = Counter((a, b) for own in holders.values() for n, b in enumerate(own) for a in own[:n])
+    root = roots([p for p, shared in near.items() if shared >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - shared)])
+    return [root.get(i, i) for i in range(len(texts))]
+
+
+def test_near_copies_in_a_crowd(spark):
+    """A large family whose members are mostly less alike than 0.8: the links among them are found all the same."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(300):
+        new = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 3, 5, 8, 12])):
+            new[at] = word()
+        rows.append((i, " ".join(new)))
+    groups = near_groups([t for _, t in rows])
+    assert 60 < len(set(groups)) < 200
+    kept = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in kept.collect()} == set(groups)
+
+
 def test_simhash_of_an_empty_table(empty):
     assert simhash.near_duplicate_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
