@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,13 +57,14 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tallysmith-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     """Write the rows once as a table in the shared folder and go on from there.
 
-    Like a reliable checkpoint, but the plan runs once only and later joins know the size of the table.
+    Like a reliable checkpoint, but the plan runs once only and later joins know the size of the table.  Filters on
+    columns named in ``folders`` skip the files of other values.
     """
     path = f"{scratch_root(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -113,3 +114,24 @@ def number_within(
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_piece", "_local", "_offset")
     )
+
+
+def in_ranges(df: DataFrame, order: Sequence[Column], part: str = "_part") -> DataFrame:
+    """The rows as a written table, range-partitioned by an order, with the number of their range in ``part``.
+
+    Ranges follow each other in the order, so what runs over all rows can run within ranges and be carried on.
+    """
+    return checkpointed(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+
+
+def carried(ranges: DataFrame, value: Column, merge: Callable[[Column, Column], Column], start: Column, name: str) -> DataFrame:
+    """(_part, name): ``value`` of all earlier ranges merged, ``start`` for the first; a row per range.
+
+    The values of the ranges, as many as there are partitions, are folded in one array.
+    """
+    listed = ranges.groupBy().agg(F.array_sort(F.collect_list(F.struct("_part", value.alias("v")))).alias("_all"))
+    each = listed.select("_all", F.explode("_all").alias("_one"))
+    before = F.filter("_all", lambda r: r["_part"] < F.col("_one._part"))
+    return each.select(
+        F.col("_one._part").alias("_part"), F.aggregate(before, start, lambda acc, r: merge(acc, r["v"])).alias(name)
+    )

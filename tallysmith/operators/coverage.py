@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysmith.functions.numbers import in_band, round_mean, round_to, share
 from tallysmith.functions.text import reject_bucket
-from tallysmith.operators.common import keyed
+from tallysmith.operators.common import checkpointed, keyed
 from tallysmith.operators.ensemble import QUESTION_TYPES
 
 
@@ -168,7 +168,32 @@ def reject_funnel(rejects: DataFrame) -> DataFrame:
     return bucket.groupBy("bucket").agg(F.count("*").alias("candidates rejected"))
 
 
-def distinct_counts(trials: DataFrame) -> DataFrame:
-    return trials.agg(
-        *[F.count_distinct(c).alias(f"n_{c}") for c in ("model", "question_id", "area", "standard", "run")]
+#: Columns whose different values are counted.
+COUNTED = ("model", "question_id", "area", "standard", "run")
+
+
+def distinct_bitmaps(trials: DataFrame, by: Sequence[str] = (), counted: Sequence[str] = COUNTED) -> DataFrame:
+    """(by, what, bucket, bits): which values of each counted column occur, as exact bitmaps that can be merged.
+
+    Values are numbered once; a bitmap holds a bucket of 32 768 numbers.  Missing values are not counted.  Stored,
+    the table answers any roll-up over ``by`` through ``distinct_counts``.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in counted]))
+    met = trials.select(*by, values.alias("_v")).select(*by, "_v.*").filter("value IS NOT NULL").distinct()
+    met = checkpointed(met)
+    numbers = checkpointed(met.select("what", "value").distinct().withColumn("_n", F.monotonically_increasing_id()))
+    # Both functions count from one.
+    n = F.col("_n") + 1
+    placed = met.join(numbers, ["what", "value"]).select(
+        *by, "what", F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("_bit")
+    )
+    return placed.groupBy(*by, "what", "bucket").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+
+
+def distinct_counts(bitmaps: DataFrame, by: Sequence[str] = (), counted: Sequence[str] = COUNTED) -> DataFrame:
+    """n_<column> for each counted column in each group, from stored bitmaps; 0 where there are no values."""
+    merged = bitmaps.groupBy(*by, "what", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    n = F.bitmap_count("bits")
+    return merged.groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.when(F.col("what") == c, n)), F.lit(0)).alias(f"n_{c}") for c in counted]
     )

@@ -71,7 +71,19 @@ def accuracy_by_standard(spark, sf):
 
 @query
 def distinct_counts(spark, sf):
-    return coverage.distinct_counts(facts.trials(spark, sf))
+    return coverage.distinct_counts(coverage.distinct_bitmaps(facts.trials(spark, sf)))
+
+
+@query
+def distinct_roll_ups(spark, sf):
+    """Different values by area, by type of question and by model, all from one stored table of bitmaps."""
+    by = ["area", "question_type", "model"]
+    stored = checkpointed(coverage.distinct_bitmaps(facts.trials(spark, sf), by))
+    levels = [
+        coverage.distinct_counts(stored, [c]).select(F.lit(c).alias("level"), F.col(c).alias("name"), *[f"n_{n}" for n in coverage.COUNTED])
+        for c in by
+    ]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
 # --- first run and majority vote ------------------------------------------------------------------------
@@ -816,7 +828,7 @@ def csv_per_model(spark, sf):
 @query
 def reply_items(spark, sf):
     """Questions read from replies: whole, fenced, without an answer, and cut off."""
-    turns = facts.table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("t"))
+    turns = facts.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     body = F.to_json(F.struct(F.array(
         F.struct(F.concat(F.lit(" "), "t").alias("question"), F.concat(F.lit("a"), "turn").alias("answer")),
         F.struct(F.col("t").alias("question"), F.lit(" ").alias("answer")),

@@ -110,6 +110,12 @@ ORACLES["distinct_counts"] = f"""WITH {EV} SELECT count(DISTINCT model) AS n_mod
   count(DISTINCT question_id) AS n_question_id, count(DISTINCT area) AS n_area,
   count(DISTINCT standard) AS n_standard, count(DISTINCT run) AS n_run FROM ev"""
 
+ORACLES["distinct_roll_ups"] = f"""WITH {EV} """ + " UNION ALL ".join(
+    f"""SELECT '{c}' AS level, {c} AS name, count(DISTINCT model) AS n_model, count(DISTINCT question_id) AS n_question_id,
+  count(DISTINCT area) AS n_area, count(DISTINCT standard) AS n_standard, count(DISTINCT run) AS n_run FROM ev GROUP BY 2"""
+    for c in ("area", "question_type", "model")
+)
+
 
 # --- first run and majority vote ------------------------------------------------------------------------
 
@@ -698,6 +704,55 @@ SELECT p_partkey AS position, area, standard, question_type, p_name AS question,
 FROM turn JOIN walk USING (area, r)"""
 
 
+# Longer texts: a row of the table as bits, 62 places to a word, changed by an addition for each letter of x.
+_LETTERS = "'abcdefghijklmnopqrstuvwxyz0123456789 '"
+_FULL = (1 << 62) - 1
+MASKS = f"""list_transform(range(0, greatest((len(y) + 61) // 62, 1)), lambda w: list_transform(range(1, 38), lambda k:
+  CAST(list_sum(list_transform(range(1, 63), lambda i: CASE WHEN substr(y, w * 62 + i, 1) = substr({_LETTERS}, k, 1)
+    THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS BIGINT)))"""
+_SUM = "p[1] + (p[1] & p[2]) + acc[1]"
+BIT_LCS = f"""list_sum(list_transform(list_reduce(
+  list_prepend(list_transform(masks, lambda m: CAST({_FULL} AS BIGINT)),
+    list_transform(range(1, len(x) + 1), lambda i: list_transform(masks, lambda m: m[instr({_LETTERS}, substr(x, i, 1))]))),
+  lambda v, h: list_reduce(
+    list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(v) + 1), lambda w: [v[w], h[w]])),
+    lambda acc, p: list_append(list_prepend(({_SUM}) >> 62, acc[2:]), (({_SUM}) & {_FULL}) | (p[1] & xor(p[1] & p[2], {_FULL}))))[2:]
+), lambda w: 62 - bit_count(w)))"""
+
+
+def _ratio(best: str) -> str:
+    return f"""CASE WHEN s > 0 AND (x = '' OR y = '') THEN 100e0 WHEN x = '' OR y = '' THEN 0e0 ELSE greatest({best},
+    100 - 1e2 * (len(x) + len(y) - 2 * {BIT_LCS}) / (na + nb)) END"""
+
+
+_SIDES = """i, array_to_string(list_filter(a, lambda w: NOT list_contains(i, w)), ' ') AS x,
+  array_to_string(list_filter(b, lambda w: NOT list_contains(i, w)), ' ') AS y, len(array_to_string(i, ' ')) AS s"""
+_SIZES = f"""*, s + CAST(s > 0 AS INTEGER) + len(x) AS na, s + CAST(s > 0 AS INTEGER) + len(y) AS nb, {MASKS} AS masks"""
+_COMMON = "CASE WHEN s > 0 THEN greatest(100 - 1e2 * (na - s) / (s + na), 100 - 1e2 * (nb - s) / (s + nb)) ELSE 0e0 END"
+ORACLES["token_set_pairs"] = f"""WITH t AS (SELECT conv_id, turn, {TOKENS} AS a FROM conversations),
+p AS (SELECT x.conv_id, x.turn, x.a, y.a AS b, list_filter(x.a, lambda w: list_contains(y.a, w)) AS i
+  FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = y.turn - 1),
+l AS (SELECT conv_id, turn, len(a) = 0 OR len(b) = 0 AS empty, {_SIDES} FROM p),
+m AS MATERIALIZED (SELECT {_SIZES} FROM l)
+SELECT conv_id, turn, {rnd(f"CASE WHEN empty THEN 0e0 ELSE {_ratio(_COMMON)} END", 6)} AS ratio FROM m"""
+ORACLES["question_bank_dedupe"] = f"""WITH RECURSIVE q AS (SELECT item_id, {TOKENS} AS t FROM benchmark),
+names AS (SELECT array_to_string(t, ' ') AS name, t, min(item_id) AS first FROM q WHERE len(t) > 0 GROUP BY ALL),
+p AS (SELECT a.name AS left_name, b.name AS right_name, a.t AS a, b.t AS b, list_filter(a.t, lambda w: list_contains(b.t, w)) AS i
+  FROM names a JOIN names b ON a.first > b.first),
+l AS (SELECT left_name, right_name, {_SIDES} FROM p),
+m AS MATERIALIZED (SELECT {_SIZES} FROM l),
+alike AS (SELECT left_name, list(right_name) AS near FROM m WHERE {_ratio(_COMMON)} >= 88 GROUP BY 1),
+turn AS (SELECT *, row_number() OVER (ORDER BY first) AS r FROM names),
+walk AS (
+  SELECT 0 AS r, CAST([] AS VARCHAR[]) AS kept
+  UNION ALL
+  SELECT w.r + 1, CASE WHEN len(list_intersect(w.kept, a.near)) > 0 THEN w.kept ELSE list_append(w.kept, t.name) END
+  FROM walk w JOIN turn t ON t.r = w.r + 1 LEFT JOIN alike a ON a.left_name = t.name),
+final AS (SELECT arg_max(kept, r) AS kept FROM walk)
+SELECT item_id AS position, CAST(len(t) = 0 OR (n.first = item_id AND list_contains(f.kept, n.name)) AS INTEGER) AS kept
+FROM q LEFT JOIN names n USING (t) CROSS JOIN final f"""
+
+
 # --- exchange files ---------------------------------------------------------------------------------------
 
 ORACLES["csv_round_trip"] = f"""SELECT concat_ws('-', conv_id, turn) AS question_id, CAST(NULL AS VARCHAR) AS area,
@@ -708,6 +763,6 @@ ORACLES["csv_optional"] = """SELECT 'there' AS source, CAST(doc_id AS VARCHAR) A
 ORACLES["csv_per_model"] = f"""WITH {EV} SELECT model, standard, count(*) AS answers,
   {big("sum(CASE WHEN run % 4 <> 0 THEN binary_score ELSE 0 END)")} AS "right", {big('sum(is_refusal)')} AS refusals,
   count(rubric_score) AS rubrics FROM ev GROUP BY 1, 2"""
-ORACLES["reply_items"] = """WITH t AS (SELECT conv_id, turn, substr(text, 1, 40) AS t FROM conversations WHERE turn % 4 < 3)
+ORACLES["reply_items"] = """WITH t AS (SELECT conv_id, turn, text AS t FROM conversations WHERE turn % 4 < 3)
 SELECT conv_id, turn, CAST(p AS INTEGER) AS place, CASE p WHEN 0 THEN trim(t) ELSE trim(concat('b ', t)) END AS question,
   CASE p WHEN 0 THEN concat('a', turn) ELSE 'yes' END AS answer FROM t, (SELECT unnest([0, 1]) AS p)"""

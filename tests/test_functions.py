@@ -1,6 +1,8 @@
 """Single expressions against known values."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,50 @@ def test_holm_with_ties_and_missing(spark):
     assert got["d"] is None and got["e"] == 0.5
 
 
+def plain_holm(rows):
+    """(key, p) to adjusted p, ties in the order of the keys."""
+    known = sorted((p, k) for k, p in rows if p is not None)
+    out, most = {k: None for k, _ in rows}, 0.0
+    for i, (p, k) in enumerate(known):
+        most = max(most, p * (len(known) - i))
+        out[k] = min(1.0, most)
+    return out
+
+
+@pytest.mark.parametrize("n, missing", [(0, 0), (1, 0), (5, 5), (400, 30)])
+def test_holm_over_many_ranges(spark, n, missing):
+    rng = random.Random(n)
+    rows = [(i, rng.choice([0.0, 1.0, round(rng.random() ** 4, 3)])) for i in range(n)] + [(1000 + i, None) for i in range(missing)]
+    tests = spark.createDataFrame(rows, "k long, p double").repartition(3)
+    adjusted = significance.holm_adjust(tests, "p", ["k"], "h")
+    got = {r["k"]: r["h"] for r in adjusted.collect()}
+    want = plain_holm(rows)
+    assert set(got) == set(want) and all(got[k] == want[k] if want[k] is None else got[k] == pytest.approx(want[k]) for k in want)
+    plan = adjusted._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Window \[[^\n]*\], \[[^\]]*ASC", plan) or "_part" in plan
+    assert all("_part" in line for line in plan.splitlines() if re.search(r"\bWindow \[", line))
+
+
+def test_packed_votes_of_many_models(spark):
+    """Sixty models: pairs from words of 64 verdicts equal pairs from verdict combinations and plain counts."""
+    rng = random.Random(1)
+    rows = [(f"m{m:02d}", q, f"g{q % 3}", int(rng.random() < 0.3 + m / 120)) for m in range(60) for q in range(150) if (m, q % 40) != (7, 3)]
+    votes = spark.createDataFrame(rows, "model string, question_id long, g string, vote int").repartition(4)
+    for group in ([], ["g"]):
+        wide = significance.mcnemar_counts(votes, group)
+        assert "bit_or" in wide._jdf.queryExecution().optimizedPlan().toString()
+        by_pattern = significance.mcnemar_counts(votes, group, models=1)
+        assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, by_pattern.collect()))
+    said = {}
+    for m, q, _, v in rows:
+        said.setdefault(q, {})[m] = v
+    whole = [v for v in said.values() if len(v) == 60]
+    r = significance.mcnemar_counts(votes).filter("model_a = 'm03' AND model_b = 'm50'").first()
+    assert (r.n_items, r.correct_a, r.discordant_b) == (
+        len(whole), sum(v["m03"] for v in whole), sum(v["m03"] > v["m50"] for v in whole))
+    assert r.discordant_c == sum(v["m03"] < v["m50"] for v in whole)
+
+
 def test_kappas(spark):
     k = lambda *n: one(spark, S.cohen_kappa(*[F.lit(v) for v in n]))
     assert k(2, 0, 0, 2) == 1.0
