@@ -6,8 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysmith.functions.numbers import in_band, round_to
@@ -16,7 +15,7 @@ from tallysmith.operators import quota
 from tallysmith.operators.common import checkpointed, number_rows
 from tallysmith.operators.quota import SLOT
 from tallysmith.operators.similarity import (
-    DEFAULT_THRESHOLD, _candidates, _similar, blocking_keys, set_ratio, with_signature,
+    DEFAULT_THRESHOLD, _candidates, _similar, blocking_keys, with_signature,
 )
 
 # A provider gets (requests, round) and returns candidates for the requested slots.
@@ -85,11 +84,10 @@ def accept_candidates(
         ends = places.filter(F.col("place") == AREA_FRONT).select("area", F.col("position").alias("end"))
         safe = heads.join(horizon, "area", "left").join(ends, "area", "left")
         safe = checkpointed(safe.filter("position <= coalesce(least(horizon, end), position)").drop("end"))
-        with_words = safe.join(sets.select("area", "position", "tokens"), ["area", "position"], "left")
-        chosen = with_words.select(*SLOT, "position", "need", "tokens").groupBy("area").applyInPandas(
-            _in_order(threshold), f"{', '.join(f'{c} string' for c in SLOT)}, position long"
-        )
-        accepted = checkpointed(chosen)
+        front = keys.join(safe.select("area", "position"), ["area", "position"], "left_semi")
+        near = _similar(_candidates(front.filter("lead"), front, threshold), sets, threshold)
+        near = near.groupBy("area", F.col("later").alias("position")).agg(F.collect_list("earlier").alias("near"))
+        accepted = checkpointed(_in_order(safe.join(near, ["area", "position"], "left")))
         accepted_parts.append(accepted)
 
         used = accepted.groupBy(*SLOT).agg(F.count("*").alias("used"))
@@ -113,25 +111,27 @@ def accept_candidates(
     return full.withColumn("outcome", outcome).select(*candidates.columns, "outcome")
 
 
-def _in_order(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Decide the front of one area in order; it has at most ``AREA_FRONT`` rows."""
-
-    def decide(front: pd.DataFrame) -> pd.DataFrame:
-        left: dict[tuple[str, str], int] = {}
-        taken: list[int] = []
-        seen: list[frozenset] = []
-        front = front.sort_values("position", ignore_index=True)
-        for i, row in enumerate(front.itertuples(index=False)):
-            slot = (row.standard, row.question_type)
-            words = frozenset(row.tokens) if row.tokens is not None else frozenset()
-            if left.setdefault(slot, row.need) <= 0 or any(set_ratio(words, s) >= threshold for s in seen):
-                continue
-            left[slot] -= 1
-            seen.append(words)
-            taken.append(i)
-        return front.loc[taken, [*SLOT, "position"]]
-
-    return decide
+def _in_order(front: DataFrame) -> DataFrame:
+    """Slot and position of the accepted candidates of a front; each area is decided in order, in one fold.
+
+    ``front`` has at most ``AREA_FRONT`` rows of an area: slot, need, position, and in ``near`` the positions of the
+    earlier candidates that are similar, NULL for none.  A candidate is taken if its slot has room and none of those
+    was taken.
+    """
+    rest = [c for c in SLOT if c != "area"]
+    one = F.struct("position", *rest, "need", "near")
+    listed = front.select("area", *rest, "position", "need", "near").groupBy("area").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    kind = f"array<struct<position: bigint, {', '.join(f'{c}: string' for c in rest)}>>"
+
+    def step(taken: Column, c: Column) -> Column:
+        mine = F.filter(taken, lambda t: reduce(Column.__and__, [t[k].eqNullSafe(c[k]) for k in rest]))
+        alike = F.coalesce(F.arrays_overlap(c["near"], F.transform(taken, lambda t: t["position"])), F.lit(False))
+        fits = (F.size(mine) < c["need"]) & ~alike
+        new = F.array(F.struct(c["position"].alias("position"), *[c[k].alias(k) for k in rest])).cast(kind)
+        return F.when(fits, F.concat(taken, new)).otherwise(taken)
+
+    folded = listed.select("area", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("t"))
+    return folded.select("area", *[F.col(f"t.{k}").alias(k) for k in rest], "t.position").select(*SLOT, "position")
 
 
 def _outcome(accepted, end):

@@ -13,11 +13,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tallysmith.functions.text import token_set
 from tallysmith.operators.common import checkpointed, keyed, number_rows
@@ -29,40 +26,56 @@ DEFAULT_THRESHOLD = 88.0
 FRONT_MOST = 1024
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, one machine-word row at a time (bit-parallel)."""
-    if len(a) > len(b):
-        a, b = b, a
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    mask = (1 << len(a)) - 1
-    row = mask
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & mask
-    return len(a) - row.bit_count()
-
-
-def set_ratio(a: frozenset[str], b: frozenset[str]) -> float:
-    """Token-set ratio of two small token sets."""
-    if not a or not b:
-        return 0.0
-    common = len(" ".join(a & b))
-    left, right = " ".join(sorted(a - b)), " ".join(sorted(b - a))
-    if common and not (left and right):
-        return 100.0
-    gap = 1 if common else 0
-    sizes = [common + gap + len(left), common + gap + len(right)]
-    best = max(100.0 - 100.0 * (n - common) / (common + n) for n in sizes) if common else 0.0
-    edits = len(left) + len(right) - 2 * lcs_length(left, right)
-    return max(best, 100.0 - 100.0 * edits / sum(sizes))
-
-
-@F.pandas_udf(LongType())
-def _lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-    lengths = (lcs_length(a, b) for a, b in zip(left, right))
-    return pd.Series(np.fromiter(lengths, dtype="int64", count=len(left)))
+#: Characters of joined tokens, and positions of a text in a word; the two bits left take the carry of an addition.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+WORD = 62
+FULL = (1 << WORD) - 1
+
+
+def letter_masks(text: Column) -> Column:
+    """For each word of ``WORD`` characters of a text: for each letter the bits of its places in the word."""
+    words = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / WORD).cast("int"))
+
+    def places(word: Column, letter: str) -> Column:
+        part = F.reverse(F.substring(text, word * WORD + 1, F.lit(WORD)))
+        marked = F.translate(part, LETTERS, "".join("1" if x == letter else "0" for x in LETTERS))
+        return F.conv(marked, 2, 10).cast("bigint")
+
+    return F.transform(words, lambda word: F.array(*[F.coalesce(places(word, x), F.lit(0)) for x in LETTERS]))
+
+
+def lcs_length(masks: Column, text: Column) -> Column:
+    """Length of the longest common subsequence of a text and that of ``letter_masks``; both of ``LETTERS`` only.
+
+    A row of the usual table of lengths is kept as bits, one for each place where it does not rise, and each letter
+    changes all of them by an addition (bit-parallel), word by word with a carry.  ``masks`` should be a column, since
+    it is used for every letter.
+    """
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    full = F.lit(FULL)
+
+    def merged(row: Column, hit: Column, carry: Column) -> tuple[Column, Column]:
+        total = row + hit + carry
+        return total.bitwiseAND(full).bitwiseOR(row.bitwiseAND(F.bitwise_not(hit))), F.shiftright(total, WORD)
+
+    def one(row: Column, letter: Column) -> Column:
+        hit = row.bitwiseAND(F.get(F.get(masks, F.lit(0)), F.instr(F.lit(LETTERS), letter) - 1))
+        return merged(row, hit, F.lit(0).cast("bigint"))[0]
+
+    def many(rows: Column, letter: Column) -> Column:
+        def step(state: Column, word: Column) -> Column:
+            row = F.get(rows, word)
+            hit = row.bitwiseAND(F.get(F.get(masks, word), F.instr(F.lit(LETTERS), letter) - 1))
+            new, carry = merged(row, hit, state["carry"])
+            return F.struct(F.concat(state["done"], F.array(new)).alias("done"), carry.alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(masks) - 1), start, step, lambda s: s["done"])
+
+    short = WORD - F.aggregate(letters, full, one, F.bit_count)
+    words = F.transform(masks, lambda _: full)
+    flat = lambda rows: F.aggregate(rows, F.lit(0), lambda n, row: n + WORD - F.bit_count(row))
+    return F.when(F.size(masks) == 1, short).otherwise(F.aggregate(letters, words, many, flat))
 
 
 def _joined(tokens: Column) -> Column:
@@ -151,7 +164,7 @@ def token_set_ratio(
     """Add the 0-100 token-set ratio of two token-set columns.
 
     With ``at_least`` only rows reaching it are returned, and rows are settled by lengths first, so that only
-    undecided ones are aligned in Python. ``edits`` may give a lower bound of the edit distance.
+    undecided ones are aligned. ``edits`` may give a lower bound of the edit distance.
     """
     # The one-row generator keeps Spark from evaluating the parts again inside every filter below.
     parts = pairs.withColumn("_p", F.explode(F.array(overlap_parts(F.col(a), F.col(b)))))
@@ -162,8 +175,12 @@ def token_set_ratio(
     rest = F.length(p["rest_a"]) + F.length(p["rest_b"])
 
     def align(rows: DataFrame) -> DataFrame:
-        full = _score(rest - 2 * _lcs(p["rest_a"], p["rest_b"]), total)
-        return rows.withColumn(name, F.greatest("_quick", full))
+        shorter = F.length(p["rest_a"]) <= F.length(p["rest_b"])
+        masks = letter_masks(F.when(shorter, p["rest_a"]).otherwise(p["rest_b"]))
+        # Again a one-row generator, so that the masks are made once for all letters.
+        rows = rows.withColumn("_m", F.explode(F.array(masks)))
+        common = lcs_length(F.col("_m"), F.when(shorter, p["rest_b"]).otherwise(p["rest_a"]))
+        return rows.withColumn(name, F.greatest("_quick", _score(rest - 2 * common, total))).drop("_m")
 
     def settle(rows: DataFrame) -> DataFrame:
         return rows.withColumn(name, F.col("_quick"))

@@ -13,6 +13,10 @@ from pyspark.sql.types import IntegerType, LongType, NumericType, StructType
 from tallysmith.functions.numbers import to_number, to_whole
 
 
+#: End of the name under which a table waits that is to replace another.
+WAITING = "-next"
+
+
 def _path(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -127,5 +131,38 @@ def backup(spark: SparkSession, path: str) -> str | None:
     return moved
 
 
+def replace(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
+    """Put ``df``, which may read the table itself, in the place of a table; the old one is backed up.
+
+    The new rows are written in full beside it first.  If the job ends between the two moves that follow, the table
+    is missing and ``recover`` puts the new one in its place.
+    """
+    spark, waiting = df.sparkSession, f"{path}{WAITING}"
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(waiting)
+    backup(spark, path)
+    recover(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that broke off after its rows were written; nothing to do otherwise."""
+    target, fs = _path(spark, path)
+    waiting, _ = _path(spark, f"{path}{WAITING}")
+    if not fs.exists(target) and fs.exists(_path(spark, f"{path}{WAITING}/_SUCCESS")[0]):
+        fs.rename(waiting, target)
+
+
+def data_files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of data files below ``path`` and their bytes."""
+    target, fs = _path(spark, path)
+    files, sizes = 0, 0
+    if fs.exists(target):
+        found = fs.listFiles(target, True)
+        while found.hasNext():
+            status = found.next()
+            if not status.getPath().getName().startswith(("_", ".")):
+                files, sizes = files + 1, sizes + status.getLen()
+    return files, sizes
+
+
 def model_subset(df: DataFrame, models: Sequence[str] | None) -> DataFrame:
     return df.filter(F.col("model").isin(*models)) if models else df

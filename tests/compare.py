@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
+from types import SimpleNamespace
 
 import duckdb
 
@@ -52,3 +54,23 @@ def difference(spark_df, con, sql: str) -> str | None:
         if a != b:
             return f"first difference in {left_cols}:\n  spark {a}\n  duck  {b}"
     return None
+
+
+@contextlib.contextmanager
+def rows_scanned(spark):
+    """Counts the rows that file scans give in the block, from the metrics Spark keeps of each query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    start, read = store.executionsCount(), SimpleNamespace(rows=0)
+    yield read
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList(int(start), int(store.executionsCount() - start))
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name().startswith("Scan parquet"):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        read.rows += int(values.apply(m.accumulatorId()).replace(",", ""))
