@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tallysmith.llm.hashing import batches
 from tallysmith.llm.shared import held_out, small_batches
 
-#: Training text: at most so many documents of a language, so many characters of each, and, over all
-#: languages, so many characters together.
-FIT_DOCS, FIT_CHARS, ALL_CHARS = 64, 1_000, 240_000
+#: Training text: at most so many documents of a language, so many characters of each, so many characters over all
+#: languages together, and so many languages, the most frequent ones.
+FIT_DOCS, FIT_CHARS, ALL_CHARS, LANGUAGES = 64, 1_000, 240_000, 200
 #: Symbols that are parsed in one go; a phrase ends where such a block ends.
 BLOCK = 1_024
 #: How much a difference of one per cent in phrases counts in the score.
@@ -22,24 +22,35 @@ SHARPNESS = 20.0
 UNKNOWN = "und"
 
 
-def training_texts(docs: DataFrame, modulus: int = 3, rest: int = 1, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
+def training_texts(
+    docs: DataFrame, modulus: int = 3, rest: int = 1, key: str = "doc_id", text: str = "text", lang: str = "lang",
+    fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, all_chars: int = ALL_CHARS, languages: int = LANGUAGES,
+) -> dict[str, str]:
     """Bounded training text per language, from rows that are not held out, chosen by a hash of the key.
 
-    A language is any non-null value of ``lang``; its text is cut so that all languages together stay within
-    ``ALL_CHARS``.
+    A language is any non-null value of ``lang``; of more than ``languages`` the most frequent are learned.  Each of at
+    most ``fit_docs`` documents gives up to ``fit_chars`` characters in a row, from a place drawn by a hash; fewer, if
+    all together would be more than ``all_chars``.  So no more than that goes to the driver.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key, modulus, rest))
     rows = rows.filter(F.trim(text) != "").select(
-        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit(5), key).alias("_draw"),
-        F.substring(text, 1, FIT_CHARS).alias("_text"),
+        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit(5), key).alias("_draw"), F.col(text).alias("_whole")
+    )
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    names = [r["lang"] for r in counted.collect()]
+    if not names:
+        return {}
+    most = max(1, min(fit_chars, all_chars // (len(names) * fit_docs)))
+    start = F.pmod(F.xxhash64("_draw", F.lit(6)), F.greatest(F.length("_whole") - most + 1, F.lit(1))).cast("int") + 1
+    rows = rows.filter(F.col("lang").isin(names)).select(
+        "lang", "_draw", F.substring("_whole", start, F.lit(most)).alias("_text")
     )
     order = Window.partitionBy("lang").orderBy("_draw", "_text")
-    picked = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= FIT_DOCS)
+    picked = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= fit_docs)
     found: dict[str, list[tuple[int, str]]] = {}
     for row in picked.select("lang", "_rank", "_text").toLocalIterator():
         found.setdefault(row["lang"], []).append((row["_rank"], row["_text"]))
-    most = ALL_CHARS // max(len(found), 1)
-    return {name: "\n".join(t for _, t in sorted(texts))[:most] for name, texts in sorted(found.items())}
+    return {name: "\n".join(t for _, t in sorted(texts)) for name, texts in sorted(found.items())}
 
 
 class Alphabet:
