@@ -45,8 +45,9 @@ def labelled_sample(
 ) -> DataFrame:
     """(shard, y, text): about ``rows`` labelled documents, chosen by a hash of the key, none held out.
 
-    Rows without key or label are left out; labels of a repeated key are averaged.  Only the chosen keys are
-    broadcast, so the texts are not shuffled.
+    Rows without key or label are left out; labels of a repeated key are averaged, and of several documents with one
+    key one is drawn by a hash of its text, so a key on very many rows is one row of the sample.  Only the chosen keys
+    are broadcast, so no other texts are shuffled.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key, modulus, rest))
     known = known.groupBy(F.col(key).alias("_key")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
@@ -57,7 +58,9 @@ def labelled_sample(
     shards = max(1, round(count / SHARD_ROWS))
     shard = F.pmod(F.xxhash64(F.lit(8), "_key"), F.lit(shards)).cast("int").alias("shard")
     picked = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(chosen, "_key")
-    return checkpointed(picked.select(shard, "y", "text"))
+    drawn = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    single = picked.groupBy("_key").agg(drawn, F.first("y").alias("y"))
+    return checkpointed(single.select(shard, "y", "text"))
 
 
 def train(sample: DataFrame, features: Featurizer, dims: int, norm: bool, fit: Callable) -> Model:

@@ -347,6 +347,27 @@ def test_training_text_is_never_held_out(spark):
     assert "wordbx" not in langid.training_texts(docs)["l"]
 
 
+def test_training_text_is_bounded(spark):
+    """Many languages, long texts: no more than the stated numbers of languages, documents and characters."""
+    rows = [(i, f"{i % 40} " + "abc defg " * 200, f"l{i % 40 if i % 3 else 0:02d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_texts(docs, fit_docs=5, fit_chars=100, all_chars=4_000, languages=10)
+    assert len(got) == 10 and "l00" in got
+    assert all(len(t) <= 5 * 80 + 4 for t in got.values()) and sum(map(len, got.values())) <= 4_000 + 50
+    assert any(not line[0].isdigit() for t in got.values() for line in t.split("\n"))
+
+
+def test_sample_is_bounded_with_a_hot_key(spark):
+    """One key, and NULL, on a third of the rows each: every key gives one row, so no shard grows."""
+    rows = [(i, f"text {i}") for i in range(400)] + [(6, f"copy {i}") for i in range(400)] + [(None, f"none {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(6, 1), (None, 1)], "doc_id long, toxic int")
+    sample = linear.labelled_sample(docs, labels, "toxic", 4, 2)
+    kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sample.count() == len(kept) and 6 in kept
+    assert sorted(r.text for r in sample.collect()) == sorted(r.text for r in linear.labelled_sample(docs.repartition(2), labels, "toxic", 4, 2).collect())
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
