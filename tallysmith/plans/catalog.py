@@ -18,6 +18,7 @@ from tallysmith.operators import (
 )
 from tallysmith.operators.common import checkpointed, number_within, scratch_root, spread
 from tallysmith.sources import facts, schemas, tables
+from tallysmith.streaming.live import follow_totals, latest_totals
 from tallysmith.streaming.resume import KeyedTable, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -855,3 +856,24 @@ def incremental_append(spark, sf):
     stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parque[t]")
     follow(stream, table, f"{scratch_root(spark)}/{uuid.uuid4().hex}")
     return table.read()
+
+
+@query
+def live_progress(spark, sf):
+    """Answers, right ones and refusals of each model, kept up to date over two appends; a third look finds no news."""
+    answers = facts.trials(spark, sf).select("model", "binary_score", "is_refusal")
+    source, totals, checkpoint = (f"{scratch_root(spark)}/{uuid.uuid4().hex}" for _ in range(3))
+    sums = ["binary_score", "is_refusal"]
+    for part in (F.col("is_refusal") == 1, F.col("is_refusal") == 0, None):
+        if part is not None:
+            answers.filter(part).write.mode("append").parquet(source)
+        follow_totals(spark.readStream.schema(answers.schema).parquet(source), ["model"], sums, totals, checkpoint)
+    names = schemas.StructType([schemas.StructField("model", schemas.S)])
+    for c in ("rows", *sums):
+        names = names.add(c, "long")
+    found = latest_totals(spark, ["model"], totals, names)
+    expected = facts.part_questions(spark, sf).agg((F.count("*") * 3).alias("n")).scalar()
+    return found.select(
+        "model", F.col("rows").alias("done"), F.col("binary_score").alias("right"), F.col("is_refusal").alias("refusals"),
+        expected.alias("total"), round_to(F.least(F.lit(1.0), F.col("rows") / expected), 4).alias("pct"),
+    )

@@ -634,6 +634,9 @@ WHERE len(list_intersect(x.a, y.a)) > 0 AND (list_has_all(x.a, y.a) OR list_has_
 ORACLES["token_set_copies"] = f"""WITH t AS (SELECT p_brand AS area, p_partkey,
   array_to_string(list_sort(list_distinct({NORMAL.replace('text', 'p_name')})), ' ') AS tokens FROM part)
 SELECT area, tokens, min(p_partkey) AS first_position, count(*) AS copies FROM t GROUP BY 1, 2 HAVING count(*) > 1"""
+ORACLES["live_progress"] = f"""WITH {EV} SELECT model, count(*) AS done, CAST(sum(binary_score) AS BIGINT) AS "right",
+  CAST(sum(is_refusal) AS BIGINT) AS refusals, (SELECT 3 * count(*) FROM part) AS total,
+  {rnd('least(1e0, count(*) / CAST((SELECT 3 * count(*) FROM part) AS DOUBLE))', 4)} AS pct FROM ev GROUP BY 1"""
 ORACLES["incremental_append"] = "SELECT event_id, event_type, value FROM events"
 
 # Longest common subsequence by rows of the usual table. Lists of one number stand in for the numbers that are

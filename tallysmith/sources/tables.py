@@ -131,6 +131,13 @@ def backup(spark: SparkSession, path: str) -> str | None:
     return moved
 
 
+def backups(spark: SparkSession, path: str) -> int:
+    """How many earlier tables ``backup`` has put aside for a path."""
+    target, fs = _path(spark, path)
+    folder, _ = _path(spark, f"{target.getParent().toString()}/kept/{target.getName()}")
+    return len(fs.listStatus(folder)) if fs.exists(folder) else 0
+
+
 def replace(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     """Put ``df``, which may read the table itself, in the place of a table; the old one is backed up.
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from compare import rows_scanned
 from tallysmith import __main__ as command
 from tallysmith.operators import accuracy, agreement, ensemble, overrides, panel, quota
 from tallysmith.operators.asking import Reply, Transient, ask, shares
@@ -126,6 +127,16 @@ def test_second_run_asks_nothing(ws):
     assert before == (ws.read("responses").count(), ws.read("eval_long_triple").count(), ws.read("gt_judge_long").count())
     done = {r.stage: (r.done, r.total, r.pct) for r in stages.progress(ws).collect()}
     assert done["generate"] == (12, 12, 1.0) and done["validate"] == (24, 24, 1.0)
+    # The same from running totals, again after a replaced table, and without reading the tables a second time.
+    look = lambda: {r.stage: (r.done, r.total, r.pct) for r in stages.progress(ws, live=True).collect()}
+    assert look() == done
+    with rows_scanned(ws.spark) as read:
+        assert look() == done
+    assert read.rows <= 50
+    tables.replace(ws.read("responses").limit(1), ws.path("live_copy"))
+    assert stages.live_totals(ws, "live_copy").first()["rows"] == 1
+    tables.replace(ws.read("responses").limit(3), ws.path("live_copy"))
+    assert stages.live_totals(ws, "live_copy", ["total_tokens"]).first()["rows"] == 3
 
 
 def test_failed_calls_keep_what_was_stored(ws, tmp_path):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from compare import rows_scanned
 from tallysmith.sources import tables
 from tallysmith.sources.schemas import _table, I, S
+from tallysmith.streaming.live import follow_totals, latest_totals
 from tallysmith.streaming.resume import KeyedTable, follow
 
 SCHEMA = _table(question_id=S, run=I, text=S)
@@ -105,3 +106,25 @@ def test_a_broken_replacement_is_finished(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     tables.replace(spark.read.parquet(path).filter("id < 2"), path)
     assert spark.read.parquet(path).count() == 2 and not tables.exists(spark, path + tables.WAITING)
+
+
+def test_totals_follow_appends_and_survive_a_replay(spark, tmp_path):
+    """Only new rows are read; a batch whose commit was lost is written again, not added."""
+    source, totals, state = (str(tmp_path / n) for n in ("in", "totals", "state"))
+    schema = _table(model=S, run=I)
+    names = _table(model=S).add("rows", "long").add("run", "long")
+
+    def look():
+        batches = follow_totals(spark.readStream.schema(schema).parquet(source), ["model"], ["run"], totals, state)
+        return batches, sorted(map(tuple, latest_totals(spark, ["model"], totals, names).collect()))
+
+    assert latest_totals(spark, ["model"], totals, names).count() == 0
+    spark.createDataFrame([("a", 1), ("b", 5)], schema).write.parquet(source)
+    assert look() == (1, [("a", 1, 1), ("b", 1, 5)])
+    spark.createDataFrame([("a", 2), ("a", None)], schema).write.mode("append").parquet(source)
+    assert look() == (1, [("a", 3, 3), ("b", 1, 5)])
+    assert look() == (0, [("a", 3, 3), ("b", 1, 5)])
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].rename(tmp_path / "lost")
+    (tmp_path / "state" / "commits" / f".{commits[-1].name}.crc").rename(tmp_path / "lost.crc")
+    assert look()[1] == [("a", 3, 3), ("b", 1, 5)]
