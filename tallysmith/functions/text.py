@@ -137,12 +137,11 @@ def collapse_space(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_column(text), r"\s+", " "))
 
 
+#: Starts of the reasons that ``generation.generate`` gives, and how a report names them.
+REASONS = [("fk_grade=", "reading grade"), ("duplicate", "like another question"), ("llm_inappropriate", "found unfit")]
+
+
 def reject_bucket(reason: Column | str) -> Column:
-    """Readable bucket for a generation reject reason."""
-    r = as_column(reason)
-    return (
-        F.when(r.startswith("fk_grade"), "readability out of band")
-        .when(r == "duplicate", "near-duplicate")
-        .when(r == "llm_inappropriate", "LLM appropriateness gate")
-        .otherwise(r)
-    )
+    """The report's name of a reject reason; reasons of other kinds keep theirs."""
+    given = as_column(reason)
+    return F.coalesce(*[F.when(given.startswith(start), F.lit(name)) for start, name in REASONS], given)

@@ -165,7 +165,7 @@ def selection_pivot(selection: DataFrame, types: Sequence[str] = QUESTION_TYPES)
 def reject_funnel(rejects: DataFrame) -> DataFrame:
     """Rejected candidates per readable reason."""
     bucket = rejects.select(reject_bucket("reason").alias("bucket"))
-    return bucket.groupBy("bucket").agg(F.count("*").alias("candidates rejected"))
+    return bucket.groupBy("bucket").agg(F.count("*").alias("rejected"))
 
 
 #: Columns whose different values are counted.

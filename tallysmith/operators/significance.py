@@ -152,20 +152,20 @@ def _wins(sig: DataFrame) -> DataFrame:
     )
 
 
-def _models(sig: DataFrame) -> DataFrame:
+def tested_models(sig: DataFrame) -> DataFrame:
     return sig.select(F.explode(F.array("model_a", "model_b")).alias("model")).distinct()
 
 
 def win_counts(sig: DataFrame) -> DataFrame:
     """Significant wins per model, models without a win included."""
     wins = _wins(sig).groupBy(F.col("winner").alias("model")).agg(F.count("*").alias("wins"))
-    return _models(sig).join(wins, "model", "left").select("model", F.coalesce("wins", F.lit(0)).alias("wins"))
+    return tested_models(sig).join(wins, "model", "left").select("model", F.coalesce("wins", F.lit(0)).alias("wins"))
 
 
 def win_matrix(sig: DataFrame, models: Sequence[str]) -> DataFrame:
     """Row model against column model: a tick for a significant win, a dot otherwise, a dash for itself."""
     mark = {m: F.max(F.when(F.col("loser") == m, F.lit(1))) for m in models}
-    rows = _models(sig).join(_wins(sig), F.col("model") == F.col("winner"), "left").groupBy("model")
+    rows = tested_models(sig).join(_wins(sig), F.col("model") == F.col("winner"), "left").groupBy("model")
     hits = rows.agg(*[mark[m].alias(m) for m in models])
     cells = [
         F.when(F.col("model") == m, "—").when(F.col(m) == 1, "✓").otherwise("·").alias(m) for m in models

@@ -209,7 +209,9 @@ QUERIES["significance"] = _significance
 @query
 def win_matrix(spark, sf):
     tests = checkpointed(significance.significance(facts.votes(spark, sf)))
-    return significance.win_matrix(tests, facts.MODELS)
+    # A row and a column for each model that was tested.
+    names = [r["model"] for r in significance.tested_models(tests).orderBy("model").collect()]
+    return significance.win_matrix(tests, names)
 
 
 @query

@@ -514,9 +514,9 @@ picked AS (SELECT position, area, standard, question_type, fk_grade,
 ORACLES["review_round_robin"] = f"WITH {PICKED} SELECT * FROM picked"
 ORACLES["review_coverage"] = f"WITH {PICKED} SELECT area, standard, question_type, count(*) AS count FROM picked GROUP BY 1, 2, 3"
 ORACLES["review_coverage_pivot"] = f"WITH {PICKED} SELECT area, standard, {_c}, count(*) AS total FROM picked GROUP BY 1, 2"
-ORACLES["reject_funnel"] = f"""WITH {ITEMS} SELECT CASE WHEN fk_grade < 0 THEN 'readability out of band'
-  WHEN position % 7 = 0 THEN 'near-duplicate' WHEN position % 11 = 0 THEN 'LLM appropriateness gate' ELSE 'other' END AS bucket,
-  count(*) AS "candidates rejected" FROM items GROUP BY 1"""
+ORACLES["reject_funnel"] = f"""WITH {ITEMS} SELECT CASE WHEN fk_grade < 0 THEN 'reading grade'
+  WHEN position % 7 = 0 THEN 'like another question' WHEN position % 11 = 0 THEN 'found unfit' ELSE 'other' END AS bucket,
+  count(*) AS rejected FROM items GROUP BY 1"""
 
 
 # --- usage ----------------------------------------------------------------------------------------------

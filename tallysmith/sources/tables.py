@@ -59,10 +59,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: boo
     return _typed(_raw_csv(spark, path, multi_line), schema)
 
 
-def read_csv_or_empty(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
+def read_csv_or_empty(
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = True, required: Sequence[str] = ()
+) -> DataFrame:
+    """The file, if it is there; an error if it lacks a required column."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _typed(_raw_csv(spark, path, multi_line), schema)
+    raw = _raw_csv(spark, path, multi_line)
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(raw.columns)}")
+    return _typed(raw, schema)
 
 
 def read_per_model(
@@ -97,14 +104,6 @@ def read_trials(spark: SparkSession, folder: str, mode: str, schema: StructType,
     )
 
 
-def prefer(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
-    """The first path that exists, for example validated items before raw ones."""
-    for path in paths:
-        if exists(spark, path):
-            return read_csv(spark, path, schema)
-    raise FileNotFoundError(f"none of {list(paths)} exists")
-
-
 def write_report(df: DataFrame, path: str) -> bool:
     """Overwrite a report as CSV with header; an empty report is not written."""
     if df.isEmpty():

@@ -134,7 +134,7 @@ def test_text(spark):
     filled = T.fill_template("$a ${b}c $$x $missing", a=F.lit(1), b=F.lit("B"))
     assert one(spark, filled) == "1 Bc $x $missing"
     assert one(spark, *[T.reject_bucket(F.lit(r)) for r in ("fk_grade=1", "duplicate", "else")]) == (
-        "readability out of band", "near-duplicate", "else")
+        "reading grade", "like another question", "else")
     assert one(spark, T.percent_label(F.lit(97.4)), T.percent_label(F.lit(None).cast("double"))) == ("97%", "n/a")
     assert one(spark, T.collapse_space(F.lit(" a \n b "))) == "a b"
 

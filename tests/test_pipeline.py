@@ -11,7 +11,7 @@ from tallysmith.operators import accuracy, agreement, ensemble, overrides, panel
 from tallysmith.operators.asking import Reply, Transient, ask, shares
 from tallysmith.plans import stages
 from tallysmith.plans.report import Author, Grid, Heading, Link, Words, html_table, markdown_table, render, standards_blocks
-from tallysmith.sources import dimension, settings, tables
+from tallysmith.sources import dimension, schemas, settings, tables
 from tallysmith.sources.settings import Settings, SettingsError
 
 NAMES = ["neutron", "proton", "molecule", "isotope", "crystal", "polymer", "fossil", "magnet", "photon", "glacier", "comet"]
@@ -370,3 +370,35 @@ def test_markdown(spark):
     assert author.table("Long one", df) == Link("Long one", "long-one") and written
     with pytest.raises(ValueError):
         Author(shown=1).table("Long", df)
+
+
+def test_edited_templates_keep_their_placeholders(spark, tmp_path):
+    def space(templates):
+        given = Settings({**SETTINGS, "templates": templates})
+        return stages.Workspace(spark, str(tmp_path), given, dimension.tree(spark, TREE, 2))
+
+    new = "Fit for $area_title? $question"
+    assert space({"appropriate": new}).templates == {**stages.TEMPLATES, "appropriate": new}
+    assert space(None).templates == stages.TEMPLATES
+    with pytest.raises(SettingsError, match=r"\$question"):
+        space({"appropriate": "Fit for $area_title?"})
+    with pytest.raises(SettingsError, match="no templates called"):
+        space({"other": "x"})
+
+
+def test_sheets_need_their_columns(spark, tmp_path):
+    space = stages.Workspace(spark, str(tmp_path), Settings(SETTINGS), dimension.tree(spark, TREE, 2))
+    spark.createDataFrame([("Q1", "1")], "id string, human_score string").write.option("header", True).csv(space.path("labels/flags_groundtruth.csv"))
+    with pytest.raises(ValueError, match="no column question_id"):
+        space.sheet("flags_groundtruth", schemas.ITEM_FLAGS, ["question_id", "human_score"])
+    assert space.sheet("flags_eval", schemas.EVAL_FLAGS).count() == 0
+
+
+def test_the_first_table_that_is_there(spark, tmp_path):
+    space = stages.Workspace(spark, str(tmp_path), Settings(SETTINGS), dimension.tree(spark, TREE, 2))
+    with pytest.raises(FileNotFoundError):
+        space.first_of("better", "plain")
+    spark.range(1).write.parquet(space.path("plain"))
+    assert space.first_of("better", "plain").count() == 1
+    spark.range(2).write.parquet(space.path("better"))
+    assert space.first_of("better", "plain").count() == 2
