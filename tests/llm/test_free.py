@@ -501,3 +501,17 @@ def test_count_tokens(spark, messy, empty):
     plain = tokens.count_tokens(messy)
     assert plain.filter("n_tokens <> edited_tokens or encoded_again > 0").count() == 0
     assert tokens.count_tokens(empty, edits).count() == 0
+
+
+def test_bits_of_finer_lanes_estimate_the_likeness(spark):
+    common = np.arange(1_000, dtype=np.uint64)
+    count = nearcopies.FINE_BANDS * nearcopies.FINE_ROWS
+    def packed(own):
+        hashes = np.array([xxhash.xxh64_intdigest(int(h).to_bytes(8), 1) for h in own], dtype=np.uint64)
+        lowest = (nearcopies.lanes(hashes, count) & np.uint64(1)).astype(np.uint8)
+        return np.packbits(lowest).view(np.int64).tolist()
+    base = packed(common)
+    for other, least, most in ((common, 1.0, 1.0), (common[:800], 0.73, 0.87), (common + np.uint64(5_000), -0.15, 0.15)):
+        row = spark.createDataFrame([(base, packed(other))], "a array<long>, b array<long>")
+        found = row.select(nearcopies.bits_shared(F.col("a"), F.col("b"))).first()[0]
+        assert least <= found <= most
