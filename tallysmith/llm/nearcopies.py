@@ -21,10 +21,12 @@ LIKENESS = 0.8
 #: Two texts of likeness s share one of the bands with probability 1 - (1 - s**ROWS)**BANDS: all but 3 pairs in
 #: a million at 0.8, one in 13 at 0.3.
 BANDS, ROWS = 32, 5
-#: In a band with more nodes than this, pairs must also share one of finer bands: (1 - (1 - s**12)**96) is all but
-#: one pair in a thousand at 0.8, 19 in a hundred at 0.6, two at 0.5.
+#: In a band with more nodes than this, pairs must also share one of finer bands: (1 - (1 - s**10)**64) is all but
+#: seven pairs in ten thousand at 0.8, 32 in a hundred at 0.6, six at 0.5.
 CROWD = 16
-FINE_BANDS, FINE_ROWS = 96, 12
+#: A finer band has 18 lanes: the first ten make its key, the lowest bits of all estimate a likeness.
+FINE_BANDS, FINE_ROWS, FINE_KEYED = 64, 18, 10
+FINE_LANES = FINE_BANDS * FINE_ROWS
 #: Pairs that share fewer than this part of their lanes are not looked at: more than four standard deviations below
 #: 0.8, which misses as few pairs of that likeness, some in a million, as the bands do.
 LEAST_SHARED = 0.66
@@ -36,7 +38,7 @@ ID_ROWS = 1_000_000
 STEP = 1 << 19
 LANES = BANDS * ROWS
 _DRAWN = np.random.default_rng(SEED)
-_MOST = max(LANES, FINE_BANDS * FINE_ROWS)
+_MOST = max(LANES, FINE_LANES)
 _FACTOR = _DRAWN.integers(0, 1 << 63, _MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _DRAWN.integers(0, 1 << 63, _MOST, dtype=np.uint64)
 
@@ -85,9 +87,8 @@ def lanes_shared(a: Column, b: Column) -> Column:
 
 def bits_shared(a: Column, b: Column) -> Column:
     """Estimated likeness from the lowest bits of the finer lanes: half of those of different values agree by chance."""
-    count = FINE_BANDS * FINE_ROWS
-    differ = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(count // 64)]
-    return 1 - reduce(Column.__add__, differ) * F.lit(2.0 / count)
+    differ = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(FINE_LANES // 64)]
+    return 1 - reduce(Column.__add__, differ) * F.lit(2.0 / FINE_LANES)
 
 
 def likeness(a: str | None, b: str | None, shingle: int = SHINGLE) -> float:
@@ -139,8 +140,9 @@ def keep_one(
     def finer(texts: pd.Series) -> pd.DataFrame:
         found = []
         for t in texts:
-            own = lanes(shingles(t, shingle)[1], FINE_BANDS * FINE_ROWS)
-            found.append((bands(own, FINE_ROWS), np.packbits((own & np.uint64(1)).astype(np.uint8)).view(np.int64)))
+            own = lanes(shingles(t, shingle)[1], FINE_LANES)
+            bits = np.packbits((own & np.uint64(1)).astype(np.uint8)).view(np.int64)
+            found.append((bands(own.reshape(-1, FINE_ROWS)[:, :FINE_KEYED], FINE_KEYED), bits))
         return pd.DataFrame(found, columns=["keys", "bits"])
 
     @F.pandas_udf("double")
