@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard likeness of word shingles: MinHash bands for candidates, whole texts to verify."""
+"""Near copies by the Jaccard likeness of word shingles: a SimHash search and MinHash bands for candidates, whole texts to
+verify."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallysmith.llm.components import connected_components
 from tallysmith.llm.shared import fresh, measured, small_batches
-from tallysmith.llm.simhash import _FOLD, SEED
+from tallysmith.llm.simhash import _FOLD, SEED, near_links, voted
 from tallysmith.operators.common import checkpointed
 
 SHINGLE = 5
@@ -43,9 +44,8 @@ _FACTOR = _DRAWN.integers(0, 1 << 63, _MOST, dtype=np.uint64) * np.uint64(2) + n
 _SHIFT = _DRAWN.integers(0, 1 << 63, _MOST, dtype=np.uint64)
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
-    """A 128-bit digest of the words of a text in order, and the distinct hashes of its shingles; one for a shorter
-    text."""
+def hashed(text: str | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The joined words of a text in order, and the hashes of its shingles with repeats; one for a shorter text."""
     words = (text or "").encode("utf-8").translate(_FOLD).split()
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
@@ -54,6 +54,12 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarra
     else:
         spans = list(zip([0, *ends[:-1]], (e - 1 for e in ends[shingle - 1 :])))
     hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(spans))
+    return joined, hashes
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """A 128-bit digest of the words of a text, and the distinct hashes of its shingles."""
+    joined, hashes = hashed(text, shingle)
     return xxhash.xxh3_128_digest(joined, SEED), np.unique(hashes)
 
 
@@ -116,8 +122,11 @@ def keep_one(
     NULL and empty texts have no words; long texts are read whole, in pieces; an empty table stays empty; extra
     columns may have any name.
 
-    Nodes that share a band are candidates.  They are first compared with the least node of one of their
-    bands, then with a drawn node of each band, so a large group is joined up with a few comparisons a node.
+    The SimHash search of ``simhash.near_links`` comes first: links of its fingerprints (of the same shingles) are
+    verified on whole texts.  A likeness of 0.8 mostly differs in more than its three bits, so what it has not
+    linked is searched further: nodes that share a band are candidates.  They are first compared with the least node
+    of one of their bands, then with a drawn node of each band, so a large group is joined up with a few comparisons
+    a node.
     What is not in the main group of a band is then compared with all others there; in a crowded band only with
     those that share a finer band too, so texts that are somewhat alike are not all paired.  Of a pair the lanes
     are compared first, in this last step the bits of all finer lanes within the join; only if they leave 0.8
@@ -126,15 +135,17 @@ def keep_one(
     small_batches(docs.sparkSession)
     number, mark = fresh(docs, "_number"), fresh(docs, "_mark")
 
-    @F.pandas_udf("digest binary, n int, keys array<long>, sketch array<long>")
+    @F.pandas_udf("digest binary, n int, keys array<long>, sketch array<long>, fp long")
     def marked(texts: pd.Series) -> pd.DataFrame:
         found = []
         for t in texts:
-            digest, hashes = shingles(t, shingle)
+            joined, every = hashed(t, shingle)
+            hashes = np.unique(every)
             own = lanes(hashes)
             sketch = np.frombuffer((own & np.uint64(255)).astype(np.uint8).tobytes(), dtype=np.int64)
-            found.append((digest, len(hashes), bands(own), sketch))
-        return pd.DataFrame(found, columns=["digest", "n", "keys", "sketch"])
+            fp = voted(every) if joined else 0
+            found.append((xxhash.xxh3_128_digest(joined, SEED), len(hashes), bands(own), sketch, fp))
+        return pd.DataFrame(found, columns=["digest", "n", "keys", "sketch", "fp"])
 
     @F.pandas_udf("keys array<long>, bits array<long>")
     def finer(texts: pd.Series) -> pd.DataFrame:
@@ -197,11 +208,18 @@ def keep_one(
         apart = (F.col("root") != F.col("other_root")) & fits & (bits_shared(F.col("bits"), F.col("other_bits")) >= hopeful_fine)
         return mixed.filter("root <> main").join(others, "band").filter(apart).select("node", "other")
 
-    rooted = shared.withColumn("root", F.col("node"))
+    printed = rows.select(F.col(number).alias("node"), F.col(mark)["fp"].alias("fp")).join(nodes.select("node"), "node")
+    printed = checkpointed(printed)
+    prints = checkpointed(printed.groupBy("fp").agg(F.min("node").alias("first")))
+    ends = [prints.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("u", "node"), ("v", "other"))]
+    searched = near_links(prints.select("fp")).join(ends[0], "u").join(ends[1], "v").select("node", "other")
+    alike_prints = printed.join(prints, "fp").filter("node <> first").select("node", F.col("first").alias("other"))
+    links = verified(searched.union(alike_prints))
+    rooted = _rooted(shared, links)
     head = F.min(F.struct("node", "n", "root")).alias("_l")
     lead = [F.col("_l.node").alias("other"), F.col("_l.n").alias("m"), F.col("_l.root").alias("other_root")]
     leaders = rooted.groupBy("band").agg(head).select("band", *lead)
-    links = verified(hoped(against(leaders, rooted).groupBy("node").agg(F.min("other").alias("other"))))
+    links = links.union(verified(hoped(against(leaders, rooted).groupBy("node").agg(F.min("other").alias("other")))))
     rooted = _rooted(shared, links)
     drawn = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", "band")).alias("_l")
     leaders = rooted.groupBy("band").agg(drawn).select("band", *lead)

@@ -33,6 +33,24 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 # --- fingerprints -----------------------------------------------------------------------------------------
 
+def _votes(hashes) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    bits = np.unpackbits(np.asarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _chosen(votes: np.ndarray, count: int) -> int:
+    return int(np.packbits(votes * 2 > count, bitorder="little").view("<i8")[0])
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, repeats included: a bit is set where over half of them have it set."""
+    votes = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), STEP):
+        votes += _votes(hashes[at : at + STEP])
+    return _chosen(votes, len(hashes))
+
+
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash: bit set where over half of the shingle hashes have it set; 0 without words."""
     words = (text or "").encode("utf-8").translate(_FOLD).split()
@@ -48,10 +66,8 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(spans), STEP):
         hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans[at : at + STEP]]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    chosen = np.packbits(votes * 2 > len(spans), bitorder="little")
-    return int(chosen.view("<i8")[0])
+        votes += _votes(hashes)
+    return _chosen(votes, len(spans))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

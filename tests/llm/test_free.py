@@ -517,6 +517,21 @@ def test_bits_of_finer_lanes_estimate_the_likeness(spark):
         assert least <= found <= most
 
 
+def test_near_copies_search_fingerprints_first(spark, monkeypatch):
+    """The SimHash search runs on every distinct text; its links count only if the texts are alike enough."""
+    assert nearcopies.voted(nearcopies.hashed("a B c d e f g h a b c d e", 3)[1]) == simhash.simhash("a B c d e f g h a b c d e", 3)
+    rows = [(1, "a b c d e f g"), (2, "a  b c d E f g"), (3, "other words stand in this short text"), (4, "and a third text of words"), (5, "")]
+    seen = []
+
+    def all_linked(prints):
+        seen.append(prints.count())
+        return prints.select(F.col("fp").alias("u")).crossJoin(prints.select(F.col("fp").alias("v"))).filter("u < v")
+
+    monkeypatch.setattr(nearcopies, "near_links", all_linked)
+    kept = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [4] and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5}
+
+
 def test_finer_bands_are_few_and_miss_little():
     """Each node of a crowd is written once for every finer band."""
     missed = (1 - 0.8**nearcopies.FINE_KEYED) ** nearcopies.FINE_BANDS
