@@ -113,3 +113,24 @@ def test_every_row_is_numbered(spark, hot, width):
         for n, (_, _, b) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]), 1):
             want[b] = n
     assert {b: n for b, n in got.items() if b < 900} == want and len(got) == len(rows)
+
+
+def test_long_alignments_as_one_number(spark):
+    """Long sides are aligned outside the column fold, with the lengths of the usual table; NULL stays NULL."""
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("abc 1") for _ in range(rng.randint(1, 400))), "".join(rng.choice("abc 1") for _ in range(rng.randint(1, 400)))) for _ in range(12)]
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    df = spark.createDataFrame([*rows, (None, "a")], "a string, b string")
+    got = df.select("a", "b", similarity.long_lcs(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == (None if r.a is None else table(r.a, r.b)) for r in got)
+    sets = spark.createDataFrame([([a], [b]) for a, b in rows], "a array<string>, b array<string>")
+    plan = similarity.token_set_ratio(sets, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
