@@ -1,7 +1,12 @@
-"""Text expressions: readability, normalisation, refusals and prompt filling. All JVM-side."""
+"""Text expressions: normalisation, refusals and prompt filling, JVM-side, and readability, by Arrow arrays."""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,14 +28,8 @@ VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"
 # A final e after a consonant other than l is silent, unless it is the only vowel of the word.
 SILENT_E_PATTERN = rf"[^{VOWELS}l]e[^\p{{L}}]*$"
 
-# The same rules counted over a whole text; each pattern runs through the text once without backtracking.
-_START, _END = r"(?<!\S)", r"(?!\S)"
-_RUNS = r"\S++"
-_RUNS_WITHOUT_LETTERS = rf"{_START}[^\s\p{{L}}\p{{N}}_]++{_END}"
-_RUNS_WITHOUT_VOWEL = rf"{_START}[^\s{VOWELS}]++{_END}"
-_VOWEL_GROUPS = rf"[{VOWELS}]++"
-_FINAL_E = rf"(?<=[^{VOWELS}l\s])e[^\p{{L}}\s]*+{_END}"
-_ONLY_FINAL_E = rf"(?:\A|\s)[^\s{VOWELS}]++(?<!l)e[^\p{{L}}\s]*+{_END}"
+# Classes of a character, as bits: blank, letter or digit of a word, letter, vowel, e, l, sentence end.
+_SPACE, _WORDY, _LETTER, _VOWEL, _E, _L, _END = (1 << i for i in range(7))
 
 
 def normal_tokens(text: Column | str) -> Column:
@@ -48,37 +47,66 @@ def token_set(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(normal_tokens(text)))
 
 
-def sentence_count(text: Column | str) -> Column:
-    """Pieces between sentence ends that hold more than two words; at least one."""
-    pieces = F.split(as_column(text), "[.!?]+")
-    real = F.filter(pieces, lambda s: F.regexp_count(s, F.lit(WORD_PATTERN)) > 2)
-    return F.greatest(F.size(real), F.lit(1))
-
-
 def _blank(text: Column) -> Column:
     return F.coalesce(F.trim(F.translate(text, "\t\n\r", "   ")) == "", F.lit(True))
 
 
+@cache
+def _classes() -> np.ndarray:
+    """The classes of every code point."""
+    kinds = np.array([unicodedata.category(chr(i))[0] for i in range(0x110000)])
+    found = np.where(kinds == "L", _WORDY | _LETTER, np.where(kinds == "N", _WORDY, 0)).astype(np.uint8)
+    for letters, bits in ((" \t\n\x0b\f\r", _SPACE), ("_", _WORDY), (VOWELS, _VOWEL), ("e", _E), ("l", _L), (".!?", _END)):
+        found[[ord(x) for x in letters]] |= bits
+    return found
+
+
+def _starts(inside: np.ndarray) -> np.ndarray:
+    """Where runs of true values begin."""
+    return np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+
+
+def _counted(lower: str) -> tuple[int, int, int]:
+    """Words, sentences and syllables of a lower-cased text."""
+    kind = _classes()[np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    runs = _starts(kind & _SPACE == 0)
+    if not len(runs):
+        return 0, 1, 0
+    held = np.bitwise_or.reduceat(kind, runs)
+    words = np.count_nonzero(held & _WORDY)
+    without_vowel = np.count_nonzero((held & _WORDY != 0) & (held & _VOWEL == 0))
+    vowel = kind & _VOWEL != 0
+    # The last letter of each run, where it is an e after another letter or sign but l ...
+    letters = np.flatnonzero(kind & _LETTER)
+    run = np.searchsorted(runs, letters, side="right")
+    last = np.append(run[1:] != run[:-1], True) if len(letters) else np.zeros(0, dtype=bool)
+    at, run = letters[last], run[last]
+    first = runs[run - 1]
+    final = (kind[at] & _E != 0) & (at > first) & (kind[at - 1] & (_VOWEL | _L | _SPACE) == 0)
+    # ... is silent if there is a vowel before it.
+    before = np.append(0, np.cumsum(vowel))
+    silent = np.count_nonzero(final & (before[at] > before[first]))
+    # Pieces between sentence ends, with the words of each.
+    parts = _starts(kind & (_SPACE | _END) == 0)
+    sentences = 0
+    if len(parts):
+        wordy = parts[np.bitwise_or.reduceat(kind, parts) & _WORDY != 0]
+        sentences = np.count_nonzero(np.bincount(np.cumsum(kind & _END != 0)[wordy]) > 2)
+    return words, max(sentences, 1), len(_starts(vowel)) - silent + without_vowel
+
+
 def readability_counts(text: Column | str) -> Column:
     """Struct of words, sentences and syllables.
 
-    Every word has at least one syllable: its vowel groups, less one for a silent final e.
+    Every word has at least one syllable: its vowel groups, less one for a silent final e.  Sentences are pieces
+    between sentence ends that hold more than two words; at least one.
     """
 
-    def count(lower: Column, pattern: str) -> Column:
-        return F.regexp_count(lower, F.lit(pattern))
-
-    def counts(lower: Column) -> Column:
-        no_letters = count(lower, _RUNS_WITHOUT_LETTERS)
-        silent = count(lower, _FINAL_E) - count(lower, _ONLY_FINAL_E)
-        without_vowel = count(lower, _RUNS_WITHOUT_VOWEL) - no_letters
-        return F.struct(
-            (count(lower, _RUNS) - no_letters).alias("words"),
-            sentence_count(lower).alias("sentences"),
-            (count(lower, _VOWEL_GROUPS) - silent + without_vowel).alias("syllables"),
-        )
+    @F.pandas_udf("words int, sentences int, syllables int")
+    def counts(lower: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_counted(x) for x in lower], columns=["words", "sentences", "syllables"], dtype="int32")
 
-    return bind(F.lower(F.coalesce(as_column(text), F.lit(""))), counts)
+    return counts(F.lower(F.coalesce(as_column(text), F.lit(""))))
 
 
 def grade_from_counts(counts: Column) -> Column:

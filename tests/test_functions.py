@@ -182,3 +182,28 @@ def test_reply_fields(spark):
     assert one(spark, *[R.total_tokens(F.lit(t).cast("long"), F.lit(3), F.lit(4)) for t in (0, None, 9)]) == (7, 7, 9)
     temp = lambda o, f, r: one(spark, R.effective_temperature(F.lit(o), F.lit(f).cast("double"), F.lit(r).cast("double")))
     assert (temp(True, 1.0, 0.5), temp(False, 1.0, 0.5), temp(None, None, 0.5), temp(False, None, None)) == (None, 1.0, 0.5, None)
+
+
+def test_readability_by_arrays(spark):
+    """The array counts follow the rules word by word; the plan holds no chain of patterns."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    texts = ["", " ", "...", "e", "le e", "one. two three four! é œuvre 12 _ a-b- ", "table' make, e-e be\x0bthe ee \U0001d400 ٣"]
+    texts += ["".join(rng.choice("aelbté \n.!-'9_") for _ in range(rng.randint(1, 80))) for _ in range(150)]
+
+    def plain(t):
+        wordy = lambda w: any(c.isalpha() or c.isnumeric() or c == "_" for c in w)
+        split = lambda s: [w for w in re.split(r"[ \t\n\x0b\f\r]+", s) if w and wordy(w)]
+        syllables = 0
+        for w in split(t):
+            groups = len(re.findall(f"[{T.VOWELS}]+", w))
+            silent = groups > 1 and re.search(rf"[^{T.VOWELS}l]e[^a-zéàœ\U0001d400]*$", w)
+            syllables += max(groups - bool(silent), 1)
+        return len(split(t)), max(1, sum(len(split(s)) > 2 for s in re.split("[.!?]+", t))), syllables
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.readability_counts("t").alias("c"))
+    assert [(r.t, tuple(r.c)) for r in df.collect()] == [(t, plain(t)) for t in texts]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp" not in plan
