@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 
 SPREAD_BYTES = 256 << 20
+#: Input files behind one partition of rows that are sorted or grouped whole, and most partitions for that.
+PART_BYTES, MOST_PARTS = 4 << 20, 10_000
+#: Sizes from here on are Spark's word for unknown.
+UNKNOWN_BYTES = 1 << 50
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,6 +43,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def parts_needed(df: DataFrame) -> int:
+    """Partitions for rows that tasks hold in memory, in proportion to the files they are read from.
+
+    0 where Spark's own exchange will do: an input of unknown size, or of no more than ``PART_BYTES`` a core.  Beyond
+    that adaptive execution would merge partitions to one a core, whose memory grows with the input.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(size >= UNKNOWN_BYTES for size in sizes):
+        return 0
+    parts = -(-sum(sizes) // PART_BYTES)
+    return min(parts, MOST_PARTS) if parts > df.sparkSession.sparkContext.defaultParallelism else 0
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -75,9 +93,17 @@ def number_rows(
 
     A key with more than ``hot`` rows is cut into ranges of the first order column (an integer), which are
     numbered on their own and shifted by the rows of the earlier ranges.  Other keys, usually all, are one
-    range.  The counts are combined before their shuffle; rows are shuffled once, by key.
+    range.  The counts are combined before their shuffle; rows are shuffled once, by key.  A large input is counted
+    first, and dealt to partitions in proportion to it.
     """
     counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot)
+    parts = parts_needed(df)
+    if parts:
+        counted = checkpointed(counted)
+        if counted.isEmpty():
+            order_in_key = Window.partitionBy(*keys).orderBy(*order)
+            rest = [c for c in df.columns if c not in keys]
+            return df.repartition(parts, *keys).select(*keys, *rest, F.row_number().over(order_in_key).alias(name))
     marked = df.join(counted, [*keys], "left")
     cut = F.when(F.col("_rows").isNotNull(), F.floor(F.col(order[0]) / F.lit(width))).otherwise(F.lit(0))
     ranged = marked.withColumn("_piece", cut)
@@ -85,7 +111,8 @@ def number_rows(
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_piece", F.sum("_size").over(before).alias("_start")).filter("_start > 0")
     local = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    numbered = ranged.withColumn("_local", F.row_number().over(local)).join(starts, [*keys, "_piece"], "left")
+    dealt = ranged.repartition(parts, *keys, "_piece") if parts else ranged
+    numbered = dealt.withColumn("_local", F.row_number().over(local)).join(starts, [*keys, "_piece"], "left")
     number = (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("int")
     return numbered.withColumn(name, number).drop("_rows", "_piece", "_local", "_start")
 

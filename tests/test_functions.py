@@ -207,3 +207,28 @@ def test_readability_by_arrays(spark):
     assert [(r.t, tuple(r.c)) for r in df.collect()] == [(t, plain(t)) for t in texts]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp" not in plan
+
+
+def test_large_inputs_get_partitions_in_proportion(spark, tmp_path, monkeypatch):
+    """Four times the files, about four times the partitions; unknown and small inputs are left to Spark; numbers are the same."""
+    from tallysmith.operators import calibration, common
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(40_000).selectExpr("cast(id % 700 as string) item", "id % 7 k", "id place", "if(id % 2 = 0, 'a', 'b') judge", "id % 3 llm_score")
+    rows.write.parquet(str(tmp_path / "one"))
+    table = spark.read.parquet(str(tmp_path / "one"))
+    twice = table.unionByName(table)
+    assert common.parts_needed(table) == 0 == common.parts_needed(spark.createDataFrame([(1,)], "a int"))
+    numbered = common.number_rows(table, ["k"], ["place"], "nth")
+    hot = common.number_rows(table, ["k"], ["place"], "nth", hot=100, width=1_000)
+    sheet = calibration.calibration_sheet(table, ["item"], ["a", "b"])
+    want = [sorted(map(tuple, x.collect())) for x in (numbered, sheet)]
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(common, "PART_BYTES", size // (3 * cores))
+    parts = common.parts_needed(table)
+    assert 3 * cores <= parts <= 3 * cores + 1 and common.parts_needed(twice.unionByName(twice)) >= 4 * (parts - 1)
+    dealt = [common.number_rows(table, ["k"], ["place"], "nth"), calibration.calibration_sheet(table, ["item"], ["a", "b"])]
+    assert [sorted(map(tuple, x.collect())) for x in dealt] == want
+    assert all("REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString() for x in dealt)
+    again = common.number_rows(table, ["k"], ["place"], "nth", hot=100, width=1_000)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, hot.collect())) == want[0]
