@@ -232,3 +232,19 @@ def test_large_inputs_get_partitions_in_proportion(spark, tmp_path, monkeypatch)
     assert all("REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString() for x in dealt)
     again = common.number_rows(table, ["k"], ["place"], "nth", hot=100, width=1_000)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, hot.collect())) == want[0]
+
+
+def test_sample_of_a_large_sheet(spark, tmp_path, monkeypatch):
+    """The sample stands on items dealt out in proportion to the files, and is the same as from a small sheet."""
+    from tallysmith.operators import calibration, common
+
+    keys = ["source", "item_id", "area", "question_type"]
+    rows = spark.range(6_000).selectExpr("'s' source", "cast(id div 2 as string) item_id", "id div 2 % 5 area", "'t' question_type", "if(id % 2 = 0, 'a', 'b') judge", "1 llm_score")
+    rows.write.parquet(str(tmp_path / "long"))
+    long = spark.read.parquet(str(tmp_path / "long"))
+    sample = lambda: calibration.stratified_sample(calibration.calibration_sheet(long, keys, ["a", "b"]), keys[:2], 3)
+    want = sorted(map(str, sample().collect()))
+    monkeypatch.setattr(common, "PART_BYTES", 1_000)
+    again = sample()
+    assert len(want) == 15 and sorted(map(str, again.collect())) == want
+    assert "REPARTITION_BY_NUM" in again._jdf.queryExecution().executedPlan().toString()
