@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysmith.operators.common import checkpointed
+from tallysmith.operators.common import checkpointed, shuffles_freed
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def _with_least(links: DataFrame) -> DataFrame:
 
 
 def _signature(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    with shuffles_freed(links.sparkSession):
+        row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 

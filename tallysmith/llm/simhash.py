@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallysmith.llm.components import connected_components
 from tallysmith.llm.shared import fresh, measured, small_batches
-from tallysmith.operators.common import checkpointed
+from tallysmith.operators.common import checkpointed, shuffles_freed
 
 BITS = 64
 SEED = 42
@@ -86,6 +86,11 @@ def _printed(shingle: int):
 
 # --- plan of the search -----------------------------------------------------------------------------------
 
+def _collected(few: DataFrame) -> list:
+    with shuffles_freed(few.sparkSession):
+        return few.select("*").collect()
+
+
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and how often two bits are set together, over all of them."""
 
@@ -101,7 +106,7 @@ def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
 
     sums = prints.select("fp").mapInPandas(batches, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = np.zeros(BITS * BITS + 1)
-    for row in sums.collect():  # 4097 rows whatever the input
+    for row in _collected(sums):  # 4097 rows whatever the input
         cells[row["cell"]] = row["n"]
     return int(cells[-1]), cells[:-1].reshape(BITS, BITS)
 
@@ -195,7 +200,7 @@ def _equal_pairs(prints: DataFrame, groups: list[list[int]]) -> list[float]:
     keys = F.array(*[F.struct(F.lit(i).alias("part"), _masked("fp", g).alias("key")) for i, g in enumerate(groups)])
     sizes = prints.select(F.explode(keys).alias("k")).groupBy("k.part", "k.key").agg(F.count("*").alias("n"))
     pairs = sizes.groupBy("part").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs"))
-    found = {r["part"]: r["pairs"] for r in pairs.collect()}  # a row per part
+    found = {r["part"]: r["pairs"] for r in _collected(pairs)}  # a row per part
     return [found.get(i, 0.0) for i in range(len(groups))]
 
 

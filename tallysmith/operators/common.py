@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,8 @@ SPREAD_BYTES = 256 << 20
 PART_BYTES, MOST_PARTS = 4 << 20, 10_000
 #: Sizes from here on are Spark's word for unknown.
 UNKNOWN_BYTES = 1 << 50
+#: Spark's setting to delete the shuffle files of a query when it ends; off, they stay until the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,14 +78,32 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tallysmith-")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries whose DataFrames are made inside delete their shuffle files as soon as they end.
+
+    Jobs of many short steps would else keep the files of all steps on disk.  The session's own setting comes back.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     """Write the rows once as a table in the shared folder and go on from there.
 
     Like a reliable checkpoint, but the plan runs once only and later joins know the size of the table.  Filters on
-    columns named in ``folders`` skip the files of other values.
+    columns named in ``folders`` skip the files of other values.  Shuffle files of the plan go when the table is written.
     """
     path = f"{scratch_root(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.select("*").write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -248,3 +248,29 @@ def test_sample_of_a_large_sheet(spark, tmp_path, monkeypatch):
     again = sample()
     assert len(want) == 15 and sorted(map(str, again.collect())) == want
     assert "REPARTITION_BY_NUM" in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Steps give back their shuffle files when their table is written, not at some garbage collection; the setting comes back."""
+    import time
+
+    from tallysmith.llm.components import connected_components
+    from tallysmith.operators import common
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = shuffled(), spark.conf.get(setting, None)
+    rows = spark.range(2_000).selectExpr("id u", "id - id % 5 v")
+    sizes = rows.join(rows.groupBy("v").agg(F.count("*").alias("n")).repartition(7, "n"), "v")
+    table, roots = common.checkpointed(sizes), connected_components(rows)
+    until = time.time() + 5
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 2_000
+    assert roots.groupBy("root").count().filter("count = 5").count() == 400
+    assert spark.conf.get(setting, None) == own
