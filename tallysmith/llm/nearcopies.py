@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysmith.llm.components import connected_components
+from tallysmith.llm.components import star_forest
 from tallysmith.llm.shared import fresh, measured, small_batches
 from tallysmith.llm.simhash import _FOLD, SEED, near_links, voted
 from tallysmith.operators.common import checkpointed
@@ -103,11 +103,11 @@ def likeness(a: str | None, b: str | None, shingle: int = SHINGLE) -> float:
     return shared / (len(one) + len(two) - shared)
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the column root: the least node that the node is linked to, or itself."""
-    roots = connected_components(links).withColumnRenamed("root", "_to")
-    rows = rows.join(roots, "node", "left")
-    return checkpointed(rows.withColumn("root", F.coalesce("_to", "node")).drop("_to"))
+def _rooted(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the column root, the least node that the node is linked to, or itself; and as few links that do."""
+    forest = star_forest(links)
+    rows = rows.join(forest.select(F.col("u").alias("node"), F.col("v").alias("_to")), "node", "left")
+    return checkpointed(rows.withColumn("root", F.coalesce("_to", "node")).drop("_to")), forest
 
 
 def keep_one(
@@ -215,16 +215,16 @@ def keep_one(
     searched = near_links(prints.select("fp")).join(ends[0], "u").join(ends[1], "v").select("node", "other")
     alike_prints = printed.join(prints, "fp").filter("node <> first").select("node", F.col("first").alias("other"))
     links = verified(searched.union(alike_prints))
-    rooted = _rooted(shared, links)
+    rooted, links = _rooted(shared, links)
     head = F.min(F.struct("node", "n", "root")).alias("_l")
     lead = [F.col("_l.node").alias("other"), F.col("_l.n").alias("m"), F.col("_l.root").alias("other_root")]
     leaders = rooted.groupBy("band").agg(head).select("band", *lead)
     links = links.union(verified(hoped(against(leaders, rooted).groupBy("node").agg(F.min("other").alias("other")))))
-    rooted = _rooted(shared, links)
+    rooted, links = _rooted(shared, links)
     drawn = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", "band")).alias("_l")
     leaders = rooted.groupBy("band").agg(drawn).select("band", *lead)
     links = links.union(verified(hoped(against(leaders, rooted))))
-    rooted = _rooted(shared, links)
+    rooted, links = _rooted(shared, links)
     counts = rooted.groupBy("band").agg(F.count("*").alias("_c"), F.min("root").alias("_a"), F.max("root").alias("_b"))
     counts = checkpointed(counts.filter("_a <> _b").select("band", "_c"))
     mixed = checkpointed(rooted.join(counts, "band"))
@@ -235,7 +235,7 @@ def keep_one(
     cut = crowded.join(fine, "node").select("node", "n", "root", F.explode("keys").alias("band"))
     links = links.union(verified(few.union(across(checkpointed(cut)))))
 
-    grouped = _rooted(nodes.select("node"), links)
+    grouped, _ = _rooted(nodes.select("node"), links)
     placed = rows.select(F.col(number).alias("number"), F.col(key).alias("k"), F.col(mark)["digest"].alias("digest"))
     placed = checkpointed(placed.join(nodes.join(grouped, "node"), "digest"))
     order = F.struct(F.col("k").isNull().alias("a"), F.col("k").alias("b"), F.col("number").alias("c"))

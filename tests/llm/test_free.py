@@ -536,3 +536,15 @@ def test_finer_bands_are_few_and_miss_little():
     """Each node of a crowd is written once for every finer band."""
     missed = (1 - 0.8**nearcopies.FINE_KEYED) ** nearcopies.FINE_BANDS
     assert nearcopies.FINE_BANDS <= 64 and missed < 0.001 and nearcopies.FINE_KEYED <= nearcopies.FINE_ROWS
+
+
+@pytest.mark.parametrize("links, tables", [([], 1), ([(5, 1), (1, 7), (8, 2), (3, 3)], 1), ([(1, 2), (2, 3)], 2)])
+def test_contraction_ends_with_stars(spark, monkeypatch, links, tables):
+    """Links that are stars around their least nodes are seen to be; no round is spent on finding nothing to do."""
+    written, real = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: written.append(df) or real(df))
+    found = components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()
+    ends = {frozenset(p) for p in links if p[0] != p[1]}
+    whole = [{1, 5, 7}, {2, 8}] if tables == 1 and links else [{1, 2, 3}] if ends else []
+    assert sorted(map(tuple, found)) == sorted((n, min(c)) for c in whole for n in c)
+    assert len(written) == tables
