@@ -108,24 +108,27 @@ def checkpointed(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot: int = 1 << 20, width: int = 1 << 20
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot: int = 1 << 20, width: int = 1 << 20,
+    deal: Sequence[str] = (),
 ) -> DataFrame:
     """1, 2, ... per key in the given order; every row is numbered.
 
     A key with more than ``hot`` rows is cut into ranges of the first order column (an integer), which are
     numbered on their own and shifted by the rows of the earlier ranges.  Other keys, usually all, are one
     range.  The counts are combined before their shuffle; rows are shuffled once, by key.  A large input is counted
-    first, and dealt to partitions in proportion to it.
+    first, and dealt to partitions in proportion to it.  ``deal`` names the keys to count and deal by, all if empty:
+    a later join or grouping by these finds its rows in place.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot)
+    deal = list(deal or keys)
+    counted = df.groupBy(*deal).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot)
     parts = parts_needed(df)
     if parts:
         counted = checkpointed(counted)
         if counted.isEmpty():
             order_in_key = Window.partitionBy(*keys).orderBy(*order)
             rest = [c for c in df.columns if c not in keys]
-            return df.repartition(parts, *keys).select(*keys, *rest, F.row_number().over(order_in_key).alias(name))
-    marked = df.join(counted, [*keys], "left")
+            return df.repartition(parts, *deal).select(*keys, *rest, F.row_number().over(order_in_key).alias(name))
+    marked = df.join(counted, deal, "left")
     cut = F.when(F.col("_rows").isNotNull(), F.floor(F.col(order[0]) / F.lit(width))).otherwise(F.lit(0))
     ranged = marked.withColumn("_piece", cut)
     sizes = ranged.filter("_rows IS NOT NULL").groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))

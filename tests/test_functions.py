@@ -250,6 +250,41 @@ def test_sample_of_a_large_sheet(spark, tmp_path, monkeypatch):
     assert "REPARTITION_BY_NUM" in again._jdf.queryExecution().executedPlan().toString()
 
 
+def test_calibration_deals_each_row_in_proportion(spark, small, monkeypatch):
+    """No step of a large sheet stands on partitions that Spark sizes by the cores; orders are not joined with themselves."""
+    from tallysmith.operators import common
+    from tallysmith.plans.catalog import QUERIES
+
+    want = sorted(map(str, QUERIES["calibration_sheet"](spark, small).collect()))
+    monkeypatch.setattr(common, "PART_BYTES", 10_000)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, QUERIES["calibration_sheet"](spark, small).collect())) == want
+        plan = QUERIES["calibration_sample"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joins, scans = plan.count("SortMergeJoin"), plan.count("FileScan parquet [o_orderkey")
+    dealt = re.findall(r"Exchange hashpartitioning\(l_partkey#\d+L, (\d+)\), (\w+)", plan)
+    assert joins == 1 and scans == 1 and "hashpartitioning(l_partkey, mid" not in re.sub(r"#\d+L", "", plan)
+    assert sorted(how for _, how in dealt) == ["ENSURE_REQUIREMENTS", "REPARTITION_BY_NUM"] and dealt[0][0] == dealt[1][0]
+
+
+def test_rows_numbered_by_key_and_dealt_by_part_of_it(spark, tmp_path, monkeypatch):
+    """Dealt by one of two keys, rows get the same numbers, where no key, some or every key is cut into ranges."""
+    from tallysmith.operators import common
+
+    rows = spark.range(6_000).selectExpr("if(id % 3 = 0, 1, if(id % 97 = 5, null, id % 40)) p", "id % 5 m", "id * 7 % 6000 place")
+    rows.write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    want = sorted(map(str, common.number_rows(table, ["p", "m"], ["place"], "nth").collect()))
+    for size in (common.PART_BYTES, 1_000):
+        monkeypatch.setattr(common, "PART_BYTES", size)
+        for hot in (1 << 20, 500, 0):
+            dealt = common.number_rows(table, ["p", "m"], ["place"], "nth", hot=hot, width=1_000, deal=["p"])
+            assert sorted(map(str, dealt.collect())) == want
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Steps give back their shuffle files when their table is written, not at some garbage collection; the setting comes back."""
     import time
